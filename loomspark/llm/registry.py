@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, licenses, media, mixing, near_dedup, packing, sharding
 
 OPERATORS = {
     "op1_label_propagation_sharding": sharding,
+    "op3_license_scan": licenses,
+    "op6_media_columns": media,
     "op7_msd_radix_dedup": exact_dedup,
     "op8_block_mixing": mixing,
+    "op9_minimum_bin_slack": packing,
+    "op10_minhash_near_dedup": near_dedup,
 }
 
 
