@@ -19,11 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, text_chunks
-from .texthash import LOWER, word_bounds
-
-#: Words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of lower-cased text, over UTF-8 bytes.
-WORDS = np.zeros(256, bool)
-WORDS[0x30:0x3A] = WORDS[0x61:0x7B] = WORDS[0x80:] = True
+from .texthash import ALNUM, LOWER, word_bounds
 
 #: Phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -170,7 +166,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
     for rows, offsets, data in text_chunks(batches):
         low = LOWER[data]
-        starts, _, doc = word_bounds(low, offsets, WORDS)
+        starts, _, doc = word_bounds(low, offsets, ALNUM)
         n_words = np.bincount(doc, minlength=len(offsets) - 1)
         first = np.searchsorted(starts, offsets)
         whole, out = low.tobytes(), []

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fm_dedup, licenses, media, mixing, near_dedup, packing, sharding, suffix_dedup
+from . import exact_dedup, fm_dedup, licenses, media, mixing, near_dedup, packing, sharding, suffix_dedup, toxicity
 
 OPERATORS = {
     "op1_label_propagation_sharding": sharding,
     "op2_suffix_array_dedup": suffix_dedup,
     "op3_license_scan": licenses,
+    "op4_nnpu_toxicity": toxicity,
     "op5_fm_index_dedup": fm_dedup,
     "op6_media_columns": media,
     "op7_msd_radix_dedup": exact_dedup,

@@ -13,6 +13,10 @@ SAME = np.arange(256, dtype=np.uint8)
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
+#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` of lower-cased text: digits, letters, and all beyond ASCII.
+ALNUM = np.zeros(256, bool)
+ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
+
 _random = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = 1 << 12
