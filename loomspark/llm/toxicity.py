@@ -118,8 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return np.array(model["kept"], np.int64), np.array(model["weights"], np.float64), model["bias"]
 
 
-def score_batches(kept: np.ndarray, weights: np.ndarray, bias: float, names: list[str]):
-    """Adds score to the named columns."""
+def score_batches(kept: np.ndarray, weights: np.ndarray, bias: float, names: list[str], name: str):
+    """Adds the score to the named columns."""
     table = np.full(1 << BITS, -1, np.int16)
     table[kept] = np.arange(len(kept))
 
@@ -131,13 +131,13 @@ def score_batches(kept: np.ndarray, weights: np.ndarray, bias: float, names: lis
             key = np.unique(doc[hit] * len(table) + at[hit])
             z = np.bincount(key // len(table), weights[key % len(table)], len(offsets) - 1) + bias if len(weights) else np.full(len(offsets) - 1, bias)
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(score)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(score)], names=[*names, name])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), **bounds) -> DataFrame:
-    """The columns `keep` of every row of docs, with score (0 to 1) of the whole text.
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), name: str = "score", **bounds) -> DataFrame:
+    """The columns `keep` of every row of docs, with the score (0 to 1) of the whole text as `name`.
 
     Null counts as empty; an empty text scores what no feature at all means. Labels of the held-out fold, and doc_id,
     lang and source, never enter a score. Repeated and null doc_ids are scored as any row. Without labels, every text
@@ -147,8 +147,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 
     model = fit(docs, labels, **bounds)
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(score_batches(*model, list(keep)), out)
+    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
+    return rows.mapInArrow(score_batches(*model, list(keep), name), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
