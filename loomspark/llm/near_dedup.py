@@ -4,7 +4,7 @@ Two collections of SKETCHES sketches, each of HASHES minhashes, are computed; ev
 the key of one table, so SKETCHES**2 tables cost 2 * SKETCHES * HASHES minhashes, the square root of what separate
 tables take. Documents of one shingle set are one node from the start. A sketch that nobody else has is dropped before
 pairs are formed. Buckets meet at their smallest id, so what moves is one row for each (smallest id, member), not for
-each pair; the members of such a group are then compared on their full shingle sets, in blocks of BLOCK so that no task
+each pair; the members of such a group are then compared on their full shingle sets, in blocks of about BLOCK shingles so that no task
 holds more, and a large group first sheds what links to its smallest id directly. Only links that join something
 are put out.
 """
@@ -23,7 +23,9 @@ from .components import components
 from .texthash import LOWER, NOT_SPACE, mixed, shingle_hashes, word_bounds, word_hashes
 
 WORDS, PERCENT = 5, 80
-HASHES, SKETCHES, BLOCK = 4, 12, 512
+HASHES, SKETCHES = 4, 12
+#: Shingles of a block, of which a task holds two.
+BLOCK = 1_000_000
 
 _random = np.random.Generator(np.random.PCG64(31))
 XOR = _random.integers(0, 1 << 63, 2 * SKETCHES * HASHES, dtype=np.uint64)
@@ -125,11 +127,11 @@ def compare_blocks(k: int, percent: int):
         held: list[tuple] = []
         out: list[tuple[int, int]] = []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row, text in zip(zip(*(c.to_pylist() for c in b.columns[:7]), strict=True), b.column(7), strict=True):
                 if held and held[0][:3] != row[:3]:
                     out += block(held)
                     held = []
-                held.append(row)
+                held.append((*row, text.as_py()))
         if held:
             out += block(held)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
@@ -138,7 +140,7 @@ def compare_blocks(k: int, percent: int):
 
 
 def star_links(k: int, percent: int):
-    """Rows (lead, id, lead's text, text) to (lead, id, is linked)."""
+    """Rows (lead, id, n, lead's text, text) to (lead, id, n, is linked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -146,11 +148,11 @@ def star_links(k: int, percent: int):
             leads, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             got = []
             for i, lead in enumerate(leads):
-                x, y = b.column(2)[i].as_py(), b.column(3)[i].as_py()
+                x, y = b.column(3)[i].as_py(), b.column(4)[i].as_py()
                 if last[0] != lead:
                     last = lead, shingle_sets(np.array([0, len(x)]), np.frombuffer(x, np.uint8), k)[0]
                 got.append(linked(last[1], shingle_sets(np.array([0, len(y)]), np.frombuffer(y, np.uint8), k)[0], percent))
-            yield pa.RecordBatch.from_arrays([pa.array(leads, pa.int64()), pa.array(ids, pa.int64()), pa.array(got, pa.bool_())], names=["lead", "id", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(leads, pa.int64()), pa.array(ids, pa.int64()), b.column(2), pa.array(got, pa.bool_())], names=["lead", "id", "n", "near"])
 
     return run
 
@@ -159,32 +161,32 @@ def links(docs: DataFrame, table: DataFrame, percent: int, k: int, block: int) -
     """Edges (a, b) between documents of different shingle sets; their components are those of all links found."""
     spark = docs.sparkSession
     nodes = table.groupBy("one", "two", "n").agg(F.min("doc_id").alias("id"), F.first("sketches").alias("sketches"))
-    nodes = cut(nodes.select("id", "sketches"), "nodes")
-    each = nodes.select("id", F.posexplode("sketches").alias("s", "v"))
+    nodes = cut(nodes.select("id", "n", "sketches"), "nodes")
+    each = nodes.select("id", "n", F.posexplode("sketches").alias("s", "v"))
     often = each.groupBy("s", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    kept = each.join(often, ["s", "v"]).groupBy("id").agg(F.collect_list(F.struct("s", "v")).alias("k"))
+    kept = each.join(often, ["s", "v"]).groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", "v")).alias("k"))
     side = lambda left: F.filter("k", lambda x: (x["s"] < SKETCHES) == F.lit(left))
-    kept = cut(kept.select("id", side(True).alias("l"), side(False).alias("r")).where("size(l) > 0 AND size(r) > 0"), "sketches")
-    keys = kept.select("id", F.explode("l").alias("x"), "r").select("id", "x", F.explode("r").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
+    kept = cut(kept.select("id", "n", side(True).alias("l"), side(False).alias("r")).where("size(l) > 0 AND size(r) > 0"), "sketches")
+    keys = kept.select("id", "n", F.explode("l").alias("x"), "r").select("id", "n", "x", F.explode("r").alias("y")).select("id", "n", F.xxhash64("x", "y").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1").drop("c")
-    members = cut(keys.join(buckets, "key").select("lead", "id").distinct(), "members")
+    members = cut(keys.join(buckets, "key").select("lead", "id", "n").distinct(), "members")
 
     # texts of all members, once
     ids = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     texts = cut(texts.join(ids, "id", "left_semi"), "texts")
 
-    sizes = members.groupBy("lead").agg(F.count(F.lit(1)).alias("of"))
+    sizes = members.groupBy("lead").agg(F.sum("n").alias("of"))
     large = members.join(sizes.where(F.col("of") > block), "lead")
     small = members.join(sizes.where(F.col("of") <= block), "lead").select(
         "lead", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"), F.lit(False).alias("with_lead")
     )
-    pairs = large.select("lead", "id").join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    star = cut(pairs.select("lead", "id", "lead_text", "text").mapInArrow(star_links(k, percent), "lead long, id long, near boolean"), "star")
+    pairs = large.select("lead", "id", "n").join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    star = cut(pairs.select("lead", "id", "n", "lead_text", "text").mapInArrow(star_links(k, percent), "lead long, id long, n long, near boolean"), "star")
 
     # a grid for each large group: those not linked with its lead by blocks, against all by blocks
-    near = star.groupBy("lead", "id").agg(F.max("near").alias("near"))
-    count = near.groupBy("lead").agg(F.count(F.lit(1)).alias("of"), F.count(F.when(~F.col("near"), 1)).alias("rest"))
+    near = star.groupBy("lead", "id").agg(F.max("n").alias("n"), F.max("near").alias("near"))
+    count = near.groupBy("lead").agg(F.sum("n").alias("of"), F.sum(F.when(F.col("near"), 0).otherwise(F.col("n"))).alias("rest"))
     star = near.join(count, "lead").where("rest > 0")
     many = lambda c: F.ceil(F.col(c) / block).cast("int")
     own = lambda c: F.pmod(F.xxhash64("id"), many(c)).cast("int")
@@ -224,10 +226,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
     SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-           ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
