@@ -10,8 +10,11 @@ gapless number that no task needs the whole group for.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,66 +23,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, documents
+from .common import cut, documents, text_chunks
+from .texthash import word_bounds, word_hashes
 
 WINDOW, END = 2048, 1
-#: Words that a task keeps the ids of, and characters that it splits at once.
-KEPT_WORDS, SPLIT = 200_000, 1 << 20
+#: Distinct words that a worker keeps the ids of; more, and it starts anew.
+KEPT_WORDS = 1_500_000
+#: What surely parts words for the tokenizer.
+NOT_GAP = np.ones(256, bool)
+NOT_GAP[[0x20, 0x09, 0x0A, 0x0D]] = False
 
 
-class WordIds(dict):
-    """Ids of what stands between spaces and newlines, by a tokenizer that never joins across them; a bounded cache."""
+class WordIds:
+    """Ids of the words between gaps, by a tokenizer that never joins across them.
+
+    Words are known by 64-bit hashes, in sorted arrays; the tokenizer sees each word once in a worker's life.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self._reset()
 
     def _reset(self) -> None:
-        self.clear()
-        self.new: list[str] = []
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.flat = np.zeros(1 << 17, np.uint32)
         self.used = 0
 
-    def __missing__(self, word: str) -> int:
-        code = self[word] = len(self)
-        self.new.append(word)
-        return code
-
-    def _learn(self) -> None:
-        found = self.tokenizer.encode_batch(self.new, add_special_tokens=False)
-        lengths = np.fromiter((len(x.ids) for x in found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x.ids), np.uint32, int(lengths.sum()))
-        first, last = len(self) - len(found), len(self)
-        while last > len(self.n):
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        new = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))
+        first = len(self.keys)
+        while first + len(ids) > len(self.n):
             self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
-        while self.used + len(ids) > len(self.flat):
+        while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.n[first:last] = lengths
-        self.at[first:last] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
-        self.new = []
-
-    def encode(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        while at < len(text):
-            to = text.find(" ", at + SPLIT) if len(text) - at > SPLIT else -1
-            to = len(text) if to < 0 else to
-            if len(self) > self.kept:
-                self._reset()
-            words = text[at:to].replace("\n", " ").split(" ")
-            codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            if self.new:
-                self._learn()
-            n = self.n[codes]
-            ends = np.cumsum(n)
-            total = int(ends[-1])
-            out.append(self.flat[np.repeat(self.at[codes] - ends + n, n) + np.arange(total)])
-            at = to
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        self.flat[self.used : self.used + len(new)] = new
+        self.n[first : first + len(ids)] = n
+        self.at[first : first + len(ids)] = self.used + np.cumsum(n) - n
+        self.used += len(new)
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.codes = np.insert(self.codes, where, np.arange(first, first + len(ids), dtype=np.int32))
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin and end."""
+        starts, ends, doc = word_bounds(data, offsets, NOT_GAP)
+        keys, example, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > self.kept:
+            self._reset()
+        where = np.searchsorted(self.keys, keys)
+        new = np.append(self.keys, np.uint64(0))[where] != keys
+        new[where == len(self.keys)] = True
+        if new.any():
+            self._learn(keys[new], [data[starts[i] : ends[i]].tobytes().decode() for i in example[new].tolist()])
+            where = np.searchsorted(self.keys, keys)
+        codes = self.codes[where][which]
+        n = self.n[codes].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.at[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(doc, np.arange(len(offsets)))]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -89,7 +101,7 @@ def pieces(path: str, window: int):
     """Pieces of documents, with the task and the number among the task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, part = WordIds(path), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
+        words, seen, part = word_ids(path), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
         rows: list[tuple] = []
 
@@ -98,16 +110,17 @@ def pieces(path: str, window: int):
             rows.clear()
             return out
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(words.encode(text.as_py() or ""), np.uint32(END)).astype("<u4", copy=False)
+        for b, offsets, data in text_chunks(batches):
+            every, at = words.encode(offsets, data)
+            for doc, a, z in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = np.append(every[a:z], np.uint32(END)).astype("<u4", copy=False)
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     n = len(piece)
-                    rows.append((doc, start, n, zlib.crc32(piece.tobytes()), len(ids), part, int(seen[n])))
+                    rows.append((doc, start, n, zlib.crc32(piece), len(ids), part, int(seen[n])))
                     seen[n] += 1
-                if len(rows) >= 10_000:
-                    yield batch()
+            if len(rows) >= 10_000:
+                yield batch()
         if rows:
             yield batch()
 
