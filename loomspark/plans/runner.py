@@ -142,6 +142,7 @@ class Runner:
             rows = seed_files.load(backend, wanted, request.reuse_seeds, request.threads)
             options = Options(request.threads, request.fail_fast, request.full_refresh, request.parallelism, request.continue_on_error, off)
             types = {**seed_files.schemas(backend.spark, project.seeds, project.config.root / ".loom/seed_schemas.json"), **project.declared_types()}
+            self.lend(whole, graph, backend, project)
             runs = Executor(graph, backend, project.variables, options, rows, types, self.listen).run()
             store = StateStore(backend)
             incremental = [r for r in runs if r.model.materialization == Materialization.INCREMENTAL and r.status == Status.SUCCESS]
@@ -160,6 +161,14 @@ class Runner:
         return report
 
 
+    def lend(self, whole: Graph, graph: Graph, backend: Backend, project: Project) -> None:
+        """Ephemeral models that aren't selected but lie above what is: they live only as long as a run, so they are made here."""
+        above = set().union(*(whole.upstream(n) for n in graph.models)) - graph.models.keys()
+        needed = whole.subgraph(n for n in above if whole.models[n].materialization == Materialization.EPHEMERAL and not whole.models[n].disabled)
+        if needed.models:
+            Executor(needed, backend, project.variables, Options(threads=1)).run()
+
+
 def watermark(backend: Backend, m: Model) -> str | None:
     """The largest value of the column that config.watermark names."""
     column = m.config.get("watermark")
