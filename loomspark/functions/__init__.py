@@ -20,18 +20,56 @@ def joined(column: Column, sep: str = "|") -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), sep)
 
 
+#: Values that one task may sort for a quantile.
+SORTED_AT_ONCE = 1_000_000
+
+
+def order_statistic(df: DataFrame, column: str, rank: int, total: int, at_once: int = SORTED_AT_ONCE) -> float:
+    """The value of that rank, from 0, exactly: approximate quantiles narrow the range until one task can sort it."""
+    below, size, accuracy = 0, total, 10_000
+    while size > at_once:
+        p, slack = (rank - below) / size, 2 / accuracy
+        low, high = df.agg(F.percentile_approx(column, [max(0.0, p - slack), min(1.0, p + slack)], accuracy)).first()[0]
+        c = F.col(column)
+        less, within = df.agg(F.count_if(c < low), F.count_if((c >= low) & (c <= high))).first()
+        if not below + less <= rank < below + less + within:
+            raise ArithmeticError(f"the bracket {low} to {high} misses rank {rank}")
+        if low == high:
+            return low
+        df, below, shrunk = df.where((c >= low) & (c <= high)), below + less, within
+        if shrunk == size:  # few values, many of each
+            counted = df.groupBy(column).count()
+            return counted.agg(F.percentile(column, (rank - below) / max(1, size - 1), F.col("count"))).first()[0]
+        size = shrunk
+    return df.agg(F.element_at(F.sort_array(F.collect_list(column)), rank - below + 1)).first()[0]
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], at_once: int = SORTED_AT_ONCE) -> list[float]:
+    """Interpolated quantiles of the non-null values, as `percentile` gives them, with bounded memory for any size; [] for none."""
+    values = df.select(F.col(column).cast("double").alias(column)).where(F.col(column).isNotNull())
+    total = values.count()
+    if not total:
+        return []
+    if total <= at_once:
+        return list(values.agg(F.percentile(column, shares)).first()[0])
+    places = [q * (total - 1) for q in shares]
+    ranks = sorted({r for x in places for r in (int(x), min(int(x) + 1, total - 1))})
+    found = {r: order_statistic(values, column, r, total, at_once) for r in ranks}
+    return [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, total - 1)] - found[int(x)]) for x in places]
+
+
 def quantile_codes(df: DataFrame, column: str, bins: int = 5, name: str | None = None, descending: bool = False) -> DataFrame:
     """Adds 1 to bins by quantiles as pandas' qcut(duplicates="drop") cuts them: interpolated edges, equal ones merged,
     right-closed, the first bin with its lowest value. All values equal: the middle code. Nulls stay null.
     """
-    edges = df.agg(F.percentile(F.col(column), F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("__e"))
-    edges = edges.select(F.array_distinct("__e").alias("__e"))
-    inner = F.filter(F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0))), lambda e: e < F.col(column))
-    code = F.size(inner) + 1
+    edges = sorted(set(exact_quantiles(df, column, [i / bins for i in range(bins + 1)])))
+    code = F.lit(1)
+    for e in edges[1:-1]:
+        code = code + (F.col(column) > F.lit(e)).cast("int")
     if descending:
         code = bins + 1 - code
-    found = F.when(F.col(column).isNull(), F.lit(None)).when(F.size("__e") < 2, F.lit((bins + 1) // 2)).otherwise(code)
-    return df.join(F.broadcast(edges)).withColumn(name or f"{column}_code", found.cast("int")).drop("__e")  # one row
+    found = F.when(F.col(column).isNotNull(), F.lit((bins + 1) // 2) if len(edges) < 2 else code)
+    return df.withColumn(name or f"{column}_code", found.cast("int"))
 
 
 def rolling(df: DataFrame, value: str, by: list[str], order: str, rows: int = 14, at_least: int = 3) -> DataFrame:

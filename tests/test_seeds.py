@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pandas as pd
 
-from loomspark.functions import quantile_codes
+from loomspark.functions import exact_quantiles, quantile_codes
 from loomspark.operators.materialize import Backend
 from loomspark.sources.inference import detect_sentinels, infer_types, typed
 from loomspark.sources.seeds import discover, load, read_seed, schemas
@@ -49,3 +49,12 @@ def test_quantile_codes_are_pandas(spark):
         else:
             want = pd.qcut(pd.Series(sorted(map(float, values))), 5, labels=False, duplicates="drop") + 1
             assert [c for _, c in got] == want.tolist()
+
+
+def test_quantiles_of_what_no_task_can_sort(spark):
+    for values in (range(500), [1.0] * 300 + [2.0] * 100 + [7.5], [x * x % 97 for x in range(400)]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        want = pd.Series([float(v) for v in values]).quantile([0, 0.2, 0.5, 0.99, 1]).tolist()
+        got = exact_quantiles(df, "x", [0, 0.2, 0.5, 0.99, 1], at_once=20)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+    assert exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == []
