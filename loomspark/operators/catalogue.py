@@ -127,6 +127,43 @@ of_sql(
 of_sql("active_window", "SELECT o_custkey, COUNT(*) AS n FROM orders WHERE o_orderdate >= CAST('1996-01-01' AS DATE) - INTERVAL '90 days' AND o_orderdate < CAST('1996-01-01' AS DATE) GROUP BY o_custkey")
 
 
+# type repairs: the text that users write against text columns, and what the oracle has to spell out
+
+TEXTS = "SELECT event_id, ts, CAST(event_id AS VARCHAR) AS id_text, CASE WHEN event_id % 10 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS value_text FROM events"
+TEXT_TYPES = {"texts": {"event_id": "BIGINT", "ts": "TIMESTAMP", "id_text": "VARCHAR", "value_text": "VARCHAR"}}
+
+
+def of_texts(name: str, sql: str, oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, "events")
+        spark.sql(translate(TEXTS)).createOrReplaceTempView("texts")
+        return spark.sql(translate(sql, "duckdb", TEXT_TYPES))
+
+    QUERIES[name] = Query(run, f"WITH texts AS ({TEXTS}) {oracle}")
+
+
+of_texts(
+    "repaired_aggregates",
+    "SELECT event_id % 7 AS k, ROUND(SUM(value_text), 4) AS total, MAX(value_text) AS top FROM texts GROUP BY 1",
+    "SELECT event_id % 7 AS k, ROUND(SUM(TRY_CAST(value_text AS DOUBLE)), 4) AS total, MAX(TRY_CAST(value_text AS DOUBLE)) AS top FROM texts GROUP BY 1",
+)
+of_texts(
+    "repaired_comparison",
+    "SELECT t.event_id FROM texts t WHERE t.value_text > 90.5 AND t.event_id = t.id_text",
+    "SELECT t.event_id FROM texts t WHERE TRY_CAST(t.value_text AS DOUBLE) > 90.5 AND t.event_id = TRY_CAST(t.id_text AS BIGINT)",
+)
+of_texts(
+    "repaired_days",
+    "SELECT event_id, CAST(ts - 2 AS DATE) AS before, CAST(ts + 1 AS DATE) AS after FROM texts",
+    "SELECT event_id, CAST(ts - INTERVAL '2' DAY AS DATE) AS before, CAST(ts + INTERVAL '1' DAY AS DATE) AS after FROM texts",
+)
+of_texts(
+    "repaired_case",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'third' WHEN event_id % 3 = 1 THEN 1 ELSE CASE WHEN event_id > 50 THEN UPPER(id_text) ELSE -2 END END AS label FROM texts",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'third' WHEN event_id % 3 = 1 THEN '1' ELSE CASE WHEN event_id > 50 THEN UPPER(id_text) ELSE '-2' END END AS label FROM texts",
+)
+
+
 # analytics
 
 
