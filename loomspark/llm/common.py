@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -44,19 +45,21 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/loom-{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and a lost executor costs only the current step."""
-    spark = df.sparkSession
+def cut(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here, and a lost executor costs only the current step.
+
+    release: wait until Spark's cleaner has deleted the shuffle files behind df, where the next step needs their room.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    free(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(3 if release else 1):
+        gc.collect()  # Python's handles of plans go first,
+        spark.sparkContext._jvm.System.gc()  # then the plans; the cleaner follows in its own thread
+        if release:
+            time.sleep(0.7)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
@@ -89,7 +92,7 @@ def gapless(df: DataFrame, name: str, groups: list[str], order: list[Column], le
     return out.select(*(F.col(f"l.{c}") for c in df.columns if c not in ("_lead", "_bucket")), (F.col("r._first") + F.col("l._at") - 1).alias(name))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, offsets, UTF-8 bytes) of about `limit` bytes at most, or of one longer row; null counts as empty."""
     for batch in batches:
         a = batch.column(batch.schema.get_field_index(column))

@@ -28,7 +28,7 @@ from .texthash import word_bounds, word_hashes
 
 WINDOW, END = 2048, 1
 #: Distinct words that a worker keeps the ids of; more, and it starts anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 1_000_000
 #: What surely parts words for the tokenizer.
 NOT_GAP = np.ones(256, bool)
 NOT_GAP[[0x20, 0x09, 0x0A, 0x0D]] = False

@@ -24,8 +24,8 @@ from .texthash import ALNUM, LOWER, mixed, word_bounds, word_hashes
 
 POSITIVES, UNLABELLED = 4000, 20_000
 FOLDS, HELD_OUT = 5, 0
-#: Bits of a feature's number; features kept; lengths in bytes of beginnings of words.
-BITS, KEPT, BEGINNINGS = 22, 4096, (4, 5, 6)
+#: Features kept; lengths in bytes of beginnings of words. A feature's number is 32 bits of its hash.
+KEPT, BEGINNINGS = 4096, (4, 5, 6)
 STEPS, RATE, DECAY, BETA, GAMMA = 400, 0.05, 1e-4, 0.0, 1.0
 
 
@@ -39,35 +39,52 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
         longer = ends - starts > n
         out.append(mixed(word_hashes(low, starts[longer], starts[longer] + n) + np.uint64(n)))
         docs.append(doc[longer])
-    return np.concatenate(docs), (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate(docs), (np.concatenate(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, positive, features): the distinct features of each text."""
     for rows, offsets, data in text_chunks(batches):
         doc, number = features(offsets, data)
-        key = np.unique(doc << BITS | number)
-        at = np.searchsorted(key, np.arange(len(offsets)) << BITS)
-        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((key & ((1 << BITS) - 1)).astype(np.int32)))
+        key = np.unique(doc << 32 | number)
+        at = np.searchsorted(key, np.arange(len(offsets)) << 32)
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(key.astype(np.uint32).view(np.int32)))
         yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["positive", "features"])
 
 
-def train(numbers: np.ndarray, doc: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature numbers (sorted), weights and bias, by non-negative PU learning with the sigmoid loss."""
-    n_p, n_u = int(positive.sum()), int((~positive).sum())
-    if not n_p or not n_u:
-        return np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
-    in_p = np.bincount(numbers[positive[doc]], minlength=1 << BITS)
-    in_u = np.bincount(numbers[~positive[doc]], minlength=1 << BITS)
+def select(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_p: int, n_u: int) -> np.ndarray:
+    """Features that positives hold more often than unlabelled texts, beyond chance; sorted. texts as in train()."""
+    found, in_p = np.unique(np.concatenate([n[p[d]] for n, d, p in texts]), return_counts=True)
+    found, in_p = found[in_p >= 5], in_p[in_p >= 5]
+    in_u = np.zeros(len(found), np.int64)
+    for n, d, p in texts if len(found) else ():
+        n = n[~p[d]]
+        at = np.minimum(np.searchsorted(found, n), len(found) - 1)
+        in_u += np.bincount(at[found[at] == n], minlength=len(found))
     share = (in_p + in_u) / (n_p + n_u)
     lift = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_p + 1 / n_u))
-    kept = np.flatnonzero((lift > 4) & (in_p >= 5))
-    kept = np.sort(kept[np.argsort(-lift[kept], kind="stable")[:KEPT]])
+    best = np.flatnonzero(lift > 4)
+    return np.sort(found[best[np.argsort(-lift[best], kind="stable")[:KEPT]]])
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature numbers (sorted), weights and bias, by non-negative PU learning with the sigmoid loss.
+
+    texts: parts with the features of their texts, the text each belongs to, and which texts are positive.
+    """
+    positive = np.concatenate([np.zeros(0, bool), *(p for _, _, p in texts)])
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    kept = select(texts, n_p, n_u) if n_p and n_u else np.zeros(0, np.uint32)
     if not len(kept):
         return kept, np.zeros(0), float(np.log(prior / (1 - prior)))
-    at = np.minimum(np.searchsorted(kept, numbers), len(kept) - 1)
-    hit = kept[at] == numbers
-    column, row = at[hit], doc[hit]
+    columns, rows, first = [], [], 0
+    for n, d, p in texts:
+        at = np.minimum(np.searchsorted(kept, n), len(kept) - 1)
+        hit = kept[at] == n
+        columns.append(at[hit])
+        rows.append(d[hit] + first)
+        first += len(p)
+    column, row = np.concatenate(columns), np.concatenate(rows)
     w, b = np.zeros(len(kept)), -1.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     scale = np.where(positive, 1 / n_p, 1 / n_u)
@@ -87,13 +104,12 @@ def train(numbers: np.ndarray, doc: np.ndarray, positive: np.ndarray, prior: flo
 
 def train_rows(prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts, positive = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        texts = []
         for b in batches:
-            positive.append(b.column(0).to_numpy(zero_copy_only=False).astype(bool))
-            counts.append(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            numbers.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        n = np.concatenate(counts)
-        kept, w, bias = train(np.concatenate(numbers), np.repeat(np.arange(len(n)), n), np.concatenate(positive), prior)
+            n = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            positive = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            texts.append((b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.repeat(np.arange(len(n), dtype=np.int32), n), positive))
+        kept, w, bias = train(texts, prior)
         yield pa.RecordBatch.from_arrays([pa.array([kept.tolist()], pa.list_(pa.int64())), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["kept", "weights", "bias"])
 
     return run
@@ -115,21 +131,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("positive", "text").mapInArrow(feature_rows, "positive boolean, features array<int>")
     rows = cut(rows, "features").coalesce(1)  # the bounded sample
     model = rows.mapInArrow(train_rows(prior), "kept array<long>, weights array<double>, bias double").first()
-    return np.array(model["kept"], np.int64), np.array(model["weights"], np.float64), model["bias"]
+    return np.array(model["kept"], np.uint32), np.array(model["weights"], np.float64), model["bias"]
 
 
 def score_batches(kept: np.ndarray, weights: np.ndarray, bias: float, names: list[str], name: str):
     """Adds the score to the named columns."""
-    table = np.full(1 << BITS, -1, np.int16)
-    table[kept] = np.arange(len(kept))
+    some = np.zeros(1 << 16, bool)  # by the first bits: most features are none of those kept
+    some[kept >> np.uint32(16)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, offsets, data in text_chunks(batches):
             doc, number = features(offsets, data)
-            at = table[number]
-            hit = at >= 0
-            key = np.unique(doc[hit] * len(table) + at[hit])
-            z = np.bincount(key // len(table), weights[key % len(table)], len(offsets) - 1) + bias if len(weights) else np.full(len(offsets) - 1, bias)
+            hit = some[number >> np.uint32(16)]
+            doc, number = doc[hit], number[hit]
+            z = np.full(len(offsets) - 1, bias)
+            if len(kept):
+                at = np.minimum(np.searchsorted(kept, number), len(kept) - 1)
+                hit = kept[at] == number
+                key = np.unique(doc[hit] * len(kept) + at[hit])
+                z = z + np.bincount(key // len(kept), weights[key % len(kept)], len(offsets) - 1)
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(score)], names=[*names, name])
 
