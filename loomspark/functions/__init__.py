@@ -44,32 +44,38 @@ def order_statistic(df: DataFrame, column: str, rank: int, total: int, at_once:
     return df.agg(F.element_at(F.sort_array(F.collect_list(column)), rank - below + 1)).first()[0]
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], at_once: int = SORTED_AT_ONCE) -> list[float]:
-    """Interpolated quantiles of the non-null values, as `percentile` gives them, with bounded memory for any size; [] for none."""
-    values = df.select(F.col(column).cast("double").alias(column)).where(F.col(column).isNotNull())
-    total = values.count()
-    if not total:
-        return []
-    if total <= at_once:
-        return list(values.agg(F.percentile(column, shares)).first()[0])
-    places = [q * (total - 1) for q in shares]
-    ranks = sorted({r for x in places for r in (int(x), min(int(x) + 1, total - 1))})
-    found = {r: order_statistic(values, column, r, total, at_once) for r in ranks}
-    return [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, total - 1)] - found[int(x)]) for x in places]
-
-
-def quantile_codes(df: DataFrame, column: str, bins: int = 5, name: str | None = None, descending: bool = False) -> DataFrame:
-    """Adds 1 to bins by quantiles as pandas' qcut(duplicates="drop") cuts them: interpolated edges, equal ones merged,
-    right-closed, the first bin with its lowest value. All values equal: the middle code. Nulls stay null.
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], at_once: int = SORTED_AT_ONCE) -> list[list[float]]:
+    """Interpolated quantiles of each column's non-null values, as `percentile` gives them, with bounded memory for any size; [] for none.
+
+    Columns of few rows share one aggregate.
+    """
+    values = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    totals = values.agg(*(F.count(c) for c in columns)).first()
+    if max(totals) <= at_once:
+        return [list(x) if x is not None else [] for x in values.agg(*(F.percentile(c, shares) for c in columns)).first()]
+    out = []
+    for c, total in zip(columns, totals, strict=True):
+        places = [q * (total - 1) for q in shares] if total else []
+        own = values.select(c).where(F.col(c).isNotNull())
+        found = {r: order_statistic(own, c, r, total, at_once) for r in sorted({r for x in places for r in (int(x), min(int(x) + 1, total - 1))})}
+        out.append([found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, total - 1)] - found[int(x)]) for x in places])
+    return out
+
+
+def quantile_codes(df: DataFrame, columns: dict[str, str], bins: int = 5, descending: tuple[str, ...] = ()) -> DataFrame:
+    """Adds codes 1 to bins, named by `columns`, by quantiles as pandas' qcut(duplicates="drop") cuts them: interpolated edges,
+    equal ones merged, right-closed, the first bin with its lowest value. All values equal: the middle code. Nulls stay null.
     """
-    edges = sorted(set(exact_quantiles(df, column, [i / bins for i in range(bins + 1)])))
-    code = F.lit(1)
-    for e in edges[1:-1]:
-        code = code + (F.col(column) > F.lit(e)).cast("int")
-    if descending:
-        code = bins + 1 - code
-    found = F.when(F.col(column).isNotNull(), F.lit((bins + 1) // 2) if len(edges) < 2 else code)
-    return df.withColumn(name or f"{column}_code", found.cast("int"))
+    found = exact_quantiles(df, list(columns), [i / bins for i in range(bins + 1)])
+    codes = {}
+    for (column, name), edges in zip(columns.items(), (sorted(set(e)) for e in found), strict=True):
+        code = F.lit(1)
+        for e in edges[1:-1]:
+            code = code + (F.col(column) > F.lit(e)).cast("int")
+        if column in descending:
+            code = bins + 1 - code
+        codes[name] = F.when(F.col(column).isNotNull(), F.lit((bins + 1) // 2) if len(edges) < 2 else code).cast("int")
+    return df.withColumns(codes)
 
 
 def rolling(df: DataFrame, value: str, by: list[str], order: str, rows: int = 14, at_least: int = 3) -> DataFrame:

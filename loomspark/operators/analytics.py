@@ -23,9 +23,7 @@ def rfm_tier(score: Column) -> Column:
 
 def rfm(inputs: DataFrame, key: str, recency: str, frequency: str, monetary: str) -> DataFrame:
     """Codes 1 to 5 for recency (low is good), frequency and value, the score and its tier."""
-    df = quantile_codes(inputs, recency, 5, "r", descending=True)
-    df = quantile_codes(df, frequency, 5, "f")
-    df = quantile_codes(df, monetary, 5, "m")
+    df = quantile_codes(inputs, {recency: "r", frequency: "f", monetary: "m"}, 5, descending=(recency,))
     df = df.withColumn("rfm_score", F.col("r") * 100 + F.col("f") * 10 + F.col("m"))
     return df.withColumn("tier", rfm_tier(F.col("rfm_score"))).select(key, recency, frequency, monetary, "r", "f", "m", "rfm_score", "tier")
 

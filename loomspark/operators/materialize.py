@@ -69,6 +69,7 @@ class Backend:
         #: primary keys that scripts declared; Spark has none
         self._keys: dict[str, list[str]] = {}
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
+        self._home = spark.catalog.getDatabase(schema).locationUri
 
     def __enter__(self) -> Backend:
         return self
@@ -102,29 +103,57 @@ class Backend:
         """
         counted = Observation()
         df = df.observe(counted, F.count(F.lit(1)).alias("n"))
-        stage = f"{quoted(self.schema)}.{quoted(physical_name(name)[:80] + '__stage_' + uuid.uuid4().hex[:8])}"
+        mark = uuid.uuid4().hex[:12]
+        stage = f"{quoted(self.schema)}.{quoted(physical_name(name)[:80] + '__stage_' + mark)}"
+        location = self._new_location(name, mark)
         if cluster_by:
             df = df.sortWithinPartitions(*cluster_by)
-        writer = df.write.format("parquet").mode("overwrite")
+        writer = df.write.format("parquet").mode("overwrite").option("path", location)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         try:
             writer.saveAsTable(stage)
         except Exception:
             self.spark.sql(f"DROP TABLE IF EXISTS {stage}")
+            self._delete_files(location)
             raise
         with self._locks[name]:
-            self._drop(name)
+            old = self._drop(name, keep_files=True)
             self.spark.sql(f"ALTER TABLE {stage} RENAME TO {quoted(self.schema)}.{quoted(physical_name(name))}")
+        if old:
+            self._delete_files(old)
         return counted.get["n"]
 
-    def _drop(self, name: str) -> None:
+    def _new_location(self, name: str, mark: str) -> str:
+        """A place of its own for each writing: nothing that is there already, known to this catalog or not, is in the way."""
+        return f"{self._home.rstrip('/')}/{physical_name(name)}__{mark}"
+
+    def _delete_files(self, location: str) -> None:
+        """Removes files that this backend wrote; others aren't its to remove."""
+        if not location.rstrip("/").startswith(self._home.rstrip("/") + "/"):
+            return
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(location)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def _location(self, full: str) -> str | None:
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {full}").where("col_name = 'Location'").collect()
+        return rows[0]["data_type"] if rows else None
+
+    def _drop(self, name: str, keep_files: bool = False) -> str | None:
+        """Drops a table or view; with keep_files returns where a table's files are, for later."""
         if name in self._temporary:
             self.spark.catalog.dropTempView(self._temporary.pop(name).strip("`"))
         full = f"{quoted(self.schema)}.{quoted(physical_name(name))}"
-        if self.spark.catalog.tableExists(full):
-            kind = self.spark.catalog.getTable(full).tableType
-            self.spark.sql(f"DROP {'VIEW' if kind == 'VIEW' else 'TABLE'} IF EXISTS {full}")
+        if not self.spark.catalog.tableExists(full):
+            return None
+        if self.spark.catalog.getTable(full).tableType == "VIEW":
+            self.spark.sql(f"DROP VIEW IF EXISTS {full}")
+            return None
+        location = self._location(full)
+        self.spark.sql(f"DROP TABLE IF EXISTS {full}")
+        if location and not keep_files:
+            self._delete_files(location)
+        return location
 
     def write_view(self, name: str, sql: str) -> None:
         """A persistent view, or a temporary one where it reads a temporary one."""
@@ -248,7 +277,7 @@ class Backend:
 
     def statement(self, sql: str) -> None:
         out = parse_output(sql)
-        handler: Callable[[str, Output], None] | None = {"table": self._create, "view": self._create_view, "insert": self._insert, "update": self._update, "delete": self._delete, "merge": self._merge}.get(out.kind) if out else None
+        handler: Callable[[str, Output], None] | None = {"table": self._create, "view": self._create_view, "insert": self._insert, "update": self._update, "delete": self._delete, "merge": self._merge, "drop": self._drop_statement, "truncate": self._truncate}.get(out.kind) if out else None
         if handler:
             handler(sql, out)
         else:
@@ -271,7 +300,7 @@ class Backend:
             if whole or single:
                 self._keys[name.lower()] = [c.strip(" `") for c in (whole or single)[1].split(",")]
                 text = re.sub(r"(?i)\s+primary\s+key", "", text.replace(whole[0], "") if whole else text)
-            self.spark.sql(text + " USING parquet")
+            self.spark.sql(f"{text} USING parquet LOCATION '{self._new_location(name, uuid.uuid4().hex[:12])}'")
             return
         if not out.replace and self.exists(name):
             if out.if_not_exists:
@@ -311,6 +340,16 @@ class Backend:
         else:
             self.write_table(name, old.unionByName(new.join(old.select(*key), key, "left_anti").select(*old.columns)))
 
+    def _drop_statement(self, sql: str, out: Output) -> None:
+        if self.exists(self._short(out.name)):
+            self._drop(self._short(out.name))
+        else:
+            self.spark.sql(translate(sql, self.dialect))  # an error, or nothing with IF EXISTS
+
+    def _truncate(self, sql: str, out: Output) -> None:
+        name = self._short(out.name)
+        self.write_table(name, self.table(name).limit(0))
+
     def _clauses(self, sql: str, *words: str) -> dict[str, str]:
         """The text behind each top-level keyword."""
         tokens, depth, out, now = scan(sql), 0, {}, None

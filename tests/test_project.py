@@ -140,6 +140,18 @@ def test_scripts(spark):
     assert sorted(map(tuple, b.table("t").collect())) == [(1, "a!"), (2, "m"), (3, "i")]
     with pytest.raises(BackendError):
         b.execute("CREATE TABLE t AS SELECT 1")
+    b.execute("TRUNCATE TABLE t; INSERT INTO t VALUES (9, 'z'); DROP TABLE IF EXISTS s2; DROP TABLE IF EXISTS never")
+    assert [tuple(r) for r in b.table("t").collect()] == [(9, "z")] and not b.exists("s2")
+    with pytest.raises(BackendError):
+        b.execute("DROP TABLE never")
+
+
+def test_files_that_another_session_left_are_no_hindrance(spark):
+    b = Backend(spark, "orphans")
+    home = spark.catalog.getDatabase("orphans").locationUri
+    spark.range(3).write.parquet(f"{home}/t")
+    assert b.write_table("t", spark.range(5).toDF("a")) == 5 and b.write_table("t", b.table("t").where("a > 2")) == 2
+    assert spark.read.parquet(f"{home}/t").count() == 3 and b.table("t").count() == 2
 
 
 def test_views_and_python_results(spark, tmp_path):
