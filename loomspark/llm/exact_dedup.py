@@ -47,6 +47,8 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, factor: int = FACTOR) -> Da
             .where("n > 1")
             .withColumnRenamed("grp", "of")
         )
+        # a table of its own, so that the join can split a hot group; merged at every size, so that small tables show what large ones cost
+        groups = cut(groups, "groups").hint("merge")
         left = rows.withColumn("digit", chunk).alias("l")
         on = (F.col("l.grp").eqNullSafe(F.col("of")) if "row" not in rows.columns else F.col("l.grp") == F.col("of")) & (F.col("l.digit") == groups["digit"])
         out = left.join(groups, on, "left").withColumn("goes_on", F.col("n").isNotNull() & (F.length("l.digit") == width))
@@ -59,7 +61,7 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, factor: int = FACTOR) -> Da
             F.when(F.col("goes_on"), F.expr(f"substring(rest, {width + 1})")).alias("rest"),
             F.monotonically_increasing_id().alias("row"),
         )
-        out = cut(out, "radix")
+        out = cut(out, "radix", release=True)
         done.append(out.where("grp IS NULL").select("doc_id", "text_sha256", *own))
         rows = out.where("grp IS NOT NULL").select("doc_id", "text_sha256", "grp", "rest", "row")
         if rows.isEmpty():
