@@ -164,11 +164,14 @@ def links(docs: DataFrame, table: DataFrame, percent: int, k: int, block: int) -
     nodes = cut(nodes.select("id", "n", "sketches"), "nodes")
     each = nodes.select("id", "n", F.posexplode("sketches").alias("s", "v"))
     often = each.groupBy("s", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # counts are tables of their own, so that the joins with them can split hot keys; merged alike at every size
+    often = cut(often, "often").hint("merge")
     kept = each.join(often, ["s", "v"]).groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", "v")).alias("k"))
     side = lambda left: F.filter("k", lambda x: (x["s"] < SKETCHES) == F.lit(left))
     kept = cut(kept.select("id", "n", side(True).alias("l"), side(False).alias("r")).where("size(l) > 0 AND size(r) > 0"), "sketches")
     keys = kept.select("id", "n", F.explode("l").alias("x"), "r").select("id", "n", "x", F.explode("r").alias("y")).select("id", "n", F.xxhash64("x", "y").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1").drop("c")
+    buckets = cut(buckets, "buckets").hint("merge")
     members = cut(keys.join(buckets, "key").select("lead", "id", "n").distinct(), "members")
 
     # texts of all members, once
@@ -211,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     table = docs.select("doc_id", "text").mapInArrow(sketches(words), "doc_id long, n long, one long, two long, sketches array<long>")
     table = cut(table, "minhash")
     full = table.where("n > 0 AND doc_id IS NOT NULL")
-    first = full.groupBy("one", "two", "n").agg(F.min("doc_id").alias("a"))
+    first = cut(full.groupBy("one", "two", "n").agg(F.min("doc_id").alias("a")), "first").hint("merge")
     same = full.join(first, ["one", "two", "n"]).select("a", F.col("doc_id").alias("b"))
     edges = links(docs, full, percent, words, block).unionByName(same)
     found = components(edges)
