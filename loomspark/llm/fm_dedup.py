@@ -100,8 +100,8 @@ class WordsChunk(Chunk):
 
 class Words(Kind):
     within = True
-    #: queries searched at once
-    block = 400_000
+    #: pieces of an index, about
+    block = 5000
 
     def __init__(self, window: int = 20, gram: int = 5):
         if not 1 <= gram <= window < 64:
@@ -123,18 +123,37 @@ class Words(Kind):
         c.words = words
         return c
 
-    def pieces(self, c: WordsChunk, anchors: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def pieces(self, c: WordsChunk, anchors: np.ndarray, la: np.ndarray, ra: np.ndarray) -> np.ndarray:
         width = self.left + self.window
         out = np.zeros((len(anchors), width + 2), np.uint64)
         if not len(anchors):
             return out
-        la, ra = np.minimum(self.left, anchors - c.at[doc]), np.minimum(self.window, c.at[doc + 1] - anchors)
         place = np.arange(-self.left, self.window)
         inside = (place >= -la[:, None]) & (place < ra[:, None])
         out[:, :width] = np.where(inside, c.words[np.clip(anchors[:, None] + place, 0, len(c.words) - 1)], 0)
         out[:, -2], out[:, -1] = la, ra
         return out
 
+    def earliest(self, rows: np.ndarray, la: np.ndarray, ra: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Earliest place of each piece's windows, by offset, among all of the index."""
+        width, none = self.left + self.window, np.iinfo(np.int64).max
+        names, symbols = np.unique(np.append(rows.ravel(), 0), return_inverse=True)  # 0 stands outside of pieces
+        rows = symbols[:-1].reshape(rows.shape).astype(np.int32)
+        text = np.zeros((len(rows), width + 1), np.int32)
+        text[:, :width] = rows
+        index = FMIndex(text.ravel(), len(names), self.window)
+        # places of the text in the documents; what an interval holds starts within a document
+        key = np.append(((first - self.left)[:, None] + np.arange(width + 1)).ravel()[index.places], none)
+        offsets = np.arange(self.left + 1)
+        row, offset = np.nonzero((la[:, None] >= offsets) & (ra[:, None] >= self.window - offsets))
+        q, low, high = index.search(lambda q, i: rows[row[q], self.left - offset[q] + i], len(row), self.window)
+        out = first[:, None] - offsets  # of a window that is in no other piece
+        if len(q):
+            lows, which, inverse = np.unique(low, return_index=True, return_inverse=True)
+            ends = np.stack([lows, high[which]], 1).ravel()
+            out[row[q], offset[q]] = np.minimum.reduceat(key, ends)[::2][inverse]
+        return out
+
     @staticmethod
     def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each row among the distinct ones and an example of each, compared in full."""
@@ -158,8 +177,7 @@ class Words(Kind):
     def solve(self, runs: list[tuple[bytes, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         width, parts = self.left + self.window, []
         for blob, _, _ in runs:
-            size = int(np.frombuffer(blob, np.int64, 1, 16 + 8 * int(np.frombuffer(blob, np.int64, 1)[0]) + 8)[0])
-            parts.append(unpack(blob, "u8", f"u{size}", "u1", "u1"))
+            parts.append(unpack(blob, "u8", "u", "u1", "u1"))
         names = np.unique(np.concatenate([np.zeros(1, np.uint64), *(p[0] for p in parts)]))  # 0 is what stands outside
         rows = np.concatenate([np.searchsorted(names, p[0])[p[1]].reshape(-1, width) for p in parts]).astype(np.int32)
         entry, example = self.distinct(rows)
@@ -171,25 +189,16 @@ class Words(Kind):
         first = np.full(len(rows), np.iinfo(np.int64).max)
         np.minimum.at(first, entry, own)
 
-        text = np.zeros((len(rows), width + 1), np.int32)
-        text[:, :width] = rows
-        index = FMIndex(text.ravel(), len(names), self.window)
-        # places of the text in the documents; what an interval holds starts within a document
-        key = ((first - self.left)[:, None] + np.arange(width + 1)).ravel()[index.places]
-        key = np.append(key, np.iinfo(np.int64).max)
-
+        # only pieces of one anchor share windows: small indexes, each of some anchors, stay in a processor's cache
+        group = np.zeros(len(rows), np.uint64)
+        for k in range(self.left, self.left + self.gram):
+            group = mixed(group + rows[:, k].astype(np.uint64))
+        group = (group % np.uint64(len(rows) // self.block + 1)).astype(np.int64)
+        least = np.zeros((len(rows), self.left + 1), np.int64)
+        order = np.argsort(group, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            least[part] = self.earliest(rows[part], la[part], ra[part], first[part])
         bits = np.zeros(len(entry), np.uint64)
-        row, offset = np.nonzero((la[:, None] >= np.arange(self.left + 1)) & (ra[:, None] >= self.window - np.arange(self.left + 1)))
-        least = np.full((len(rows), self.left + 1), np.iinfo(np.int64).max)
-        for a in range(0, len(row), self.block):
-            r, o = row[a : a + self.block], row[:0]
-            o = offset[a : a + self.block]
-            q, low, high = index.search(lambda q, i, r=r, o=o: rows[r[q], self.left - o[q] + i], len(r), self.window)
-            if not len(q):
-                continue
-            lows, which, inverse = np.unique(low, return_index=True, return_inverse=True)
-            ends = np.stack([lows, high[which]], 1).ravel()
-            least[r[q], o[q]] = np.minimum.reduceat(key, ends)[::2][inverse]
         for o in range(self.left + 1):
             bits |= (least[entry, o] < own - o).astype(np.uint64) << np.uint64(o)
         return np.split(bits, np.cumsum([len(r[1]) for r in runs])[:-1])
@@ -230,3 +239,21 @@ def window_dedup(docs: DataFrame, window: int = 20, with_text: bool = False) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM documents),
+w AS (SELECT doc_id, i, array_to_string(v[i + 1:i + 20], ' ') AS s FROM (SELECT doc_id, v, unnest(range(0, len(v) - 19)) AS i FROM d)),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM w),
+r AS (SELECT doc_id, i FROM o WHERE nth > 1),
+n AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 20 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 20 AS b FROM g GROUP BY doc_id, k),
+k AS (SELECT doc_id, a AS upto, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS start FROM p
+      UNION ALL SELECT doc_id, NULL, max(b) FROM p GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(array_to_string(v[start + 1:coalesce(upto, len(v))], ' '), ' ' ORDER BY start) FILTER (coalesce(upto, len(v)) > start) AS kept
+      FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+x AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed FROM p GROUP BY doc_id)
+SELECT d.doc_id, len(v) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(CASE WHEN x.doc_id IS NULL THEN array_to_string(v, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
+"""

@@ -21,11 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_chunks
+from .common import cut, drop, partitions, text_chunks
 
 #: Anchors of a run in step 1; pieces and bytes of text of a run in step 2, which ends with the document that exceeds them.
 ANCHORS, PIECES, RUN_BYTES = 400_000, 150_000, 24 << 20
@@ -33,17 +35,21 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; equal bytes of all numbers stand together, which small ones gain by."""
     out = []
     for a in arrays:
-        out += [np.array([len(a), a.itemsize], np.int64).tobytes(), np.ascontiguousarray(a).tobytes()]
-    return b"".join(out)
+        raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        out += [np.array([len(a), a.itemsize], np.int64).tobytes(), raw.T.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    out, at = [], 0
+    """The arrays, of these kinds; `u` alone is an unsigned integer of the size that was packed."""
+    data, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
     for kind in kinds:
         n, size = np.frombuffer(data, np.int64, 2, at).tolist()
-        out.append(np.frombuffer(data, kind, n * size // np.dtype(kind).itemsize, at + 16))
+        raw = np.frombuffer(data, np.uint8, n * size, at + 16).reshape(size, n)
+        out.append(np.ascontiguousarray(raw.T).view(kind if kind != "u" else f"u{size}").ravel())
         at += 16 + n * size
     return out
 
@@ -64,6 +70,8 @@ class Chunk:
     grams: np.ndarray
     at: np.ndarray
     units: np.ndarray
+    #: lowest hash in the window that starts at each unit, once anchors() has been called
+    low: np.ndarray | None = None
 
 
 class Kind:
@@ -86,15 +94,27 @@ class Kind:
         w = self.window - self.gram + 1
         if len(c.grams) < w:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low = sliding(c.grams, w, np.minimum)
+        low = c.low = sliding(c.grams, w, np.minimum)
         high = sliding(np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]), w, np.maximum)
         found = np.flatnonzero((high == c.grams) & (c.grams != NONE))
         doc = np.searchsorted(c.at, found, "right") - 1
         long_enough = (c.at[1:] - c.at[:-1])[doc] >= self.window
         return found[long_enough], doc[long_enough]
 
-    def pieces(self, c: Chunk, anchors: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """A row for each anchor: the units around it and how many there are on either side."""
+    def reach(self, c: Chunk, anchors: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units before the anchor, and from it on, that windows cover whose lowest hash is the anchor's; (-1, 0) if none are.
+
+        Those windows start at neighbouring places. Where equal hashes share a window, it counts for each of them.
+        """
+        w = self.window - self.gram + 1
+        start = anchors[:, None] - np.arange(w)
+        inside = (start >= c.at[doc][:, None]) & (start + self.window <= c.at[doc + 1][:, None])
+        own = inside & (c.low[np.clip(start, 0, len(c.low) - 1)] == c.grams[anchors][:, None])
+        some = own.any(axis=1)
+        return np.where(some, w - 1 - np.argmax(own[:, ::-1], axis=1), -1), np.where(some, self.window - np.argmax(own, axis=1), 0)
+
+    def pieces(self, c: Chunk, anchors: np.ndarray, la: np.ndarray, ra: np.ndarray) -> np.ndarray:
+        """A row for each anchor: the la units before it and ra units from it on, and these two numbers."""
         raise NotImplementedError
 
     def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -117,8 +137,28 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def send_anchors(kind: Kind, shards: int):
-    """Step 1 at the documents: (shard, docs, values, blob). Rows below shard 0 tell documents what repeats within the run."""
+def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
+    d = doc.view(np.uint64)
+    return ((d ^ d >> np.uint64(9) ^ d >> np.uint64(21)).view(np.int64) % buckets).astype(np.int64)
+
+
+def bucket_column(doc: Column, buckets: int) -> Column:
+    """The same of a column."""
+    return F.pmod(doc.bitwiseXOR(F.shiftrightunsigned(doc, 9)).bitwiseXOR(F.shiftrightunsigned(doc, 21)), F.lit(buckets).cast("long"))
+
+
+def told(doc: np.ndarray, value: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Buckets of documents, and for each a blob of what its documents are told."""
+    bucket = bucket_of(doc, buckets)
+    order = np.lexsort((doc, bucket))
+    doc, value, bucket = doc[order], value[order], bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], np.diff(bucket) > 0])) if len(doc) else np.zeros(0, np.int64)
+    ends = np.append(at, len(doc))[1:]
+    return bucket[at].tolist(), [pack(steps(doc[a:b]), value[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+
+
+def send_anchors(kind: Kind, shards: int, buckets: int):
+    """Step 1 at the documents: (shard, blob). Shard -1 - bucket has what repeats within the run, for that bucket's documents."""
 
     def flush(h: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = (shard_of(h, shards).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
@@ -133,9 +173,8 @@ def send_anchors(kind: Kind, shards: int):
             many = np.zeros(len(first), bool)
             many[group[ids != first[group]]] = True
         here = many[group]
-        out = [[], [], []]
-        doc, value = ids[here], (key[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        yield told(doc, value, lambda d: -1 - (d.astype(np.uint64) % np.uint64(shards)).astype(np.int64))
+        at, blobs = told(ids[here], (key[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32), buckets)
+        at = [-1 - k for k in at]
         one = new & ~here
         of = (key >> np.uint64(32)).astype(np.int64)
         low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -144,10 +183,9 @@ def send_anchors(kind: Kind, shards: int):
             a, b = np.searchsorted(of, [s, s + 1])
             mine = one[a:b]
             names, nth = np.unique(ids[a:b][mine], return_inverse=True)
-            out[0].append(int(s))
-            out[1].append(None)
-            out[2].append(pack(low[a:b][mine], names, nth.astype(np.uint32), low[a:b][starts[a:b]]))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([None] * len(out[0]), pa.list_(pa.int32())), pa.array(out[2], pa.binary())], names=["shard", "doc_id", "values", "blob"])
+            at.append(int(s))
+            blobs.append(pack(steps(low[a:b][mine]), names, nth.astype(np.uint32), steps(low[a:b][starts[a:b]])))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, n = [], [], 0
@@ -166,15 +204,6 @@ def send_anchors(kind: Kind, shards: int):
     return run
 
 
-def told(doc: np.ndarray, value: np.ndarray, shard) -> pa.RecordBatch:
-    """A row for each document with its values."""
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(value.view(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(shard(doc[at]), pa.int64()), pa.array(doc[at], pa.int64()), lists, pa.nulls(len(at), pa.binary())], names=["shard", "doc_id", "values", "blob"])
-
-
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows sorted by their first column, together for each value of it."""
     key, rows = None, []
@@ -189,29 +218,74 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]
         yield key, rows
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 at the shards: (doc_id, values)."""
-    for _, rows in by_key(batches):
-        parts = [unpack(r[1], "u4", "i8", "u4", "u4") for r in rows]
-        every = np.concatenate([x for p in parts for x in (p[0], np.unique(p[3]))])
-        value, count = np.unique(every, return_counts=True)
-        often = value[count > 1]
-        if not len(often):
-            continue
-        docs, values = [], []
-        for low, names, nth, _ in parts:
-            at = np.minimum(np.searchsorted(often, low), len(often) - 1)
-            hit = often[at] == low
-            docs.append(names[nth[hit]])
-            values.append(low[hit])
-        yield told(np.concatenate(docs), np.concatenate(values), lambda d: d).select(["doc_id", "values"])
+def repeated(buckets: int):
+    """Step 1 at the shards: rows (shard, blob), sorted by shard, to (bucket, blob)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in by_key(batches):
+            if shard < 0:
+                at, blobs = [-1 - shard] * len(rows), [r[1] for r in rows]
+            else:
+                parts = [unpack(r[1], "u4", "i8", "u4", "u4") for r in rows]
+                for part in parts:
+                    part[0], part[3] = np.cumsum(part[0], dtype=np.uint32), np.cumsum(part[3], dtype=np.uint32)
+                every = np.concatenate([x for p in parts for x in (p[0], np.unique(p[3]))])
+                value, count = np.unique(every, return_counts=True)
+                often = value[count > 1]
+                if not len(often):
+                    continue
+                docs, values = [], []
+                for low, names, nth, _ in parts:
+                    place = np.minimum(np.searchsorted(often, low), len(often) - 1)
+                    hit = often[place] == low
+                    docs.append(names[nth[hit]])
+                    values.append(low[hit])
+                at, blobs = told(np.concatenate(docs), np.concatenate(values), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first as it is; np.cumsum undoes it."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def with_told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Chunks of the documents that were told something, and a test of (ids, values) for what they were told.
+
+    Rows (doc_id, text, bucket, blob) are sorted by bucket, those with a blob first.
+    """
+    key, parts, known = None, [], None
+
+    def wanted(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+        d = np.searchsorted(known[0], ids)
+        return np.isin(d.astype(np.uint64) << np.uint64(32) | values, known[1])
+
+    for b in batches:
+        bucket, is_blob = b.column(2).to_numpy(zero_copy_only=False), b.column(3).is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(is_blob.astype(np.int8)) != 0), [True]])) if len(bucket) else []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if bucket[a] != key:
+                key, parts, known = bucket[a], [], None
+            if is_blob[a]:
+                parts += [unpack(x.as_py(), "i8", "u4") for x in b.column(3).slice(a, z - a)]
+                continue
+            if not parts:
+                continue
+            if known is None:
+                ids = [np.cumsum(p[0]) for p in parts]
+                names, nth = np.unique(np.concatenate(ids), return_inverse=True)
+                known = names, np.unique(nth.astype(np.uint64) << np.uint64(32) | np.concatenate([p[1] for p in parts]))
+            for rows, offsets, data in text_chunks(iter([b.slice(a, z - a).filter(pc.is_in(b.column(0).slice(a, z - a), pa.array(known[0])))])):
+                yield rows, offsets, data, wanted
 
 
 def make_runs(kind: Kind, shards: int):
     """Step 2: rows (run, shard, pieces, first_doc, first_at, places); shard -1 has the run's documents."""
 
     def flush(run: int, ids: np.ndarray, units: np.ndarray, rows: np.ndarray, doc: np.ndarray, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        out = [(run, -1, None, pack(ids, units), None)]
+        out = [(run, -1, None, pack(ids, units))]
         of = shard_of(h, shards)
         order = np.argsort(of, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
@@ -222,9 +296,10 @@ def make_runs(kind: Kind, shards: int):
             by = np.lexsort((p, d, nth))
             first = by[np.flatnonzero(np.concatenate([[True], np.diff(nth[by]) > 0]))]
             la, ra = rows[part][example][:, -2].astype(np.int64), rows[part][example][:, -1].astype(np.int64)
-            firsts = pack(d[first].astype(np.int64), p[first].astype(np.int64))
-            places = pack(nth.astype(np.uint32), doc[part].astype(np.uint32), p.astype(np.int64), kind.windows(la, ra), d[first].astype(np.int64), p[first].astype(np.int64))
-            out.append((run, int(of[part[0]]), pack(np.frombuffer(blob, np.uint8), np.frombuffer(firsts, np.uint8)), places, None))
+            first_at = p[first].astype(np.int64) * kind.within  # else it is not asked for
+            firsts = pack(d[first].astype(np.int64), first_at)
+            places = pack(nth.astype(np.uint32), steps(doc[part].astype(np.int64)), steps(p.astype(np.int64)), kind.windows(la, ra), d[first].astype(np.int64), first_at)
+            out.append((run, int(of[part[0]]), np.array([len(blob)], np.int64).tobytes() + blob + firsts, places))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["run", "shard", "pieces", "places"])
 
@@ -236,16 +311,19 @@ def make_runs(kind: Kind, shards: int):
             ids, units, rows, doc, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
             return flush(number, ids, units, rows, doc, at, h)
 
-        for rows, offsets, data in text_chunks(batches):
+        for rows, offsets, data, wanted in with_told(batches):
             c = kind.chunk(offsets, data)
             at, doc = kind.anchors(c)
-            values = rows.column(2)
-            mine = np.repeat(np.arange(len(offsets) - 1), values.value_lengths().to_numpy(zero_copy_only=False))
-            wanted = (mine.astype(np.uint64) << np.uint64(32)) | values.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-            have = (doc.astype(np.uint64) << np.uint64(32)) | (c.grams[at] & np.uint64(0xFFFFFFFF))
-            hit = np.isin(have, wanted)
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            hit = wanted(ids[doc], (c.grams[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
             at, doc = at[hit], doc[hit]
-            held.append((rows.column(0).to_numpy(zero_copy_only=False), c.at[1:] - c.at[:-1], kind.pieces(c, at, doc), doc + docs, at - c.at[doc], c.grams[at]))
+            if len(at):
+                la, ra = kind.reach(c, at, doc)
+                hit = la >= 0
+                at, doc, la, ra = at[hit], doc[hit], la[hit], ra[hit]
+            else:
+                la = ra = at
+            held.append((ids, c.at[1:] - c.at[:-1], kind.pieces(c, at, la, ra), doc + docs, at - c.at[doc], c.grams[at]))
             pieces, size, docs = pieces + len(at), size + int(offsets[-1]), docs + len(offsets) - 1
             if pieces >= PIECES or size >= RUN_BYTES:
                 yield flushed()
@@ -264,10 +342,10 @@ def solve_shards(kind: Kind):
         for shard, rows in by_key(batches):
             runs = []
             for _, _, data in rows:
-                blob, firsts = unpack(data, "u1", "u1")
-                runs.append((blob.tobytes(), *unpack(firsts.tobytes(), "i8", "i8")))
+                end = 8 + int(np.frombuffer(data, np.int64, 1)[0])
+                runs.append((data[8:end], *unpack(data[end:], "i8", "i8")))
             bits = kind.solve(runs)
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array([b.astype(np.uint64).tobytes() for b in bits], pa.binary())], names=["run", "shard", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array([pack(b.astype(np.uint64)) for b in bits], pa.binary())], names=["run", "shard", "bits"])
 
     return run
 
@@ -277,14 +355,15 @@ def removed(kind: Kind):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            bits = {r[1]: np.frombuffer(r[3], np.uint64) for r in rows if r[3] is not None}
+            bits = {r[1]: unpack(r[3], "u8")[0] for r in rows if r[3] is not None}
             ids, units = unpack(next(r[2] for r in rows if r[1] == -1), "i8", "i8")
             base = np.concatenate([[0], np.cumsum(units)])
             flags = np.zeros(int(base[-1]) + 1, bool)
             for _, shard, places, _ in rows:
                 if shard == -1 or places is None:
                     continue
-                nth, doc, at, valid, first_doc, first_at = unpack(places, "u4", "u4", "i8", "u8", "i8", "i8")
+                nth, doc, at, valid, first_doc, first_at = unpack(places, "u4", "i8", "i8", "u8", "i8", "i8")
+                doc, at = np.cumsum(doc), np.cumsum(at)
                 later = ids[doc] > first_doc[nth]
                 if kind.within:
                     later |= (ids[doc] == first_doc[nth]) & (at > first_at[nth])
@@ -309,6 +388,18 @@ def removed(kind: Kind):
     return run
 
 
+def _runs(docs: DataFrame, kind: Kind, shards: int) -> DataFrame:
+    """Steps 1 and 2: (run, shard, pieces, places)."""
+    buckets = 2 * shards
+    sent = docs.mapInArrow(send_anchors(kind, shards, buckets), "shard long, blob binary")
+    sent = sent.repartition(shards, "shard").sortWithinPartitions("shard")
+    values = sent.mapInArrow(repeated(buckets), "bucket long, blob binary")
+    rows = docs.select("doc_id", "text", bucket_column(F.col("doc_id"), buckets).alias("bucket"), F.lit(None).cast("binary").alias("blob"))
+    rows = rows.unionByName(values, allowMissingColumns=True).repartition(shards, "bucket")
+    rows = rows.sortWithinPartitions("bucket", F.col("blob").isNull()).select("doc_id", "text", "bucket", "blob")
+    return rows.mapInArrow(make_runs(kind, shards), "run long, shard long, pieces binary, places binary")
+
+
 def removed_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """(doc_id, spans) of the documents that lose something; spans are pairs of int64, in order, not touching.
 
@@ -317,20 +408,15 @@ def removed_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     spark = docs.sparkSession
     shards = partitions(spark)
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sent = docs.mapInArrow(send_anchors(kind, shards), "shard long, doc_id long, values array<int>, blob binary")
-    sent = sent.repartition(shards, "shard").sortWithinPartitions("shard")
-    told_ = sent.where("shard >= 0").select("shard", "blob").mapInArrow(repeated, "doc_id long, values array<int>")
-    own = sent.where("shard < 0").select("doc_id", "values")
-    values = told_.unionByName(own).groupBy("doc_id").agg(F.flatten(F.collect_list("values")).alias("values"))
-    runs = docs.join(values, "doc_id").select("doc_id", "text", "values")
-    runs = cut(runs.mapInArrow(make_runs(kind, shards), "run long, shard long, pieces binary, places binary"), "runs")
+    runs = cut(_runs(docs, kind, shards), "runs", release=True)
     pieces = runs.where("shard >= 0").select("shard", "run", "pieces").repartition(shards, "shard").sortWithinPartitions("shard")
     bits = pieces.mapInArrow(solve_shards(kind), "run long, shard long, bits binary")
     both = runs.select("run", "shard", "places", F.lit(None).cast("binary").alias("bits")).unionByName(bits.withColumn("places", F.lit(None).cast("binary")))
     both = both.repartition(shards, "run").sortWithinPartitions("run")
-    spans = both.mapInArrow(removed(kind), "doc_id long, spans binary")
-    # rows that repeat a doc_id may lie in two runs
-    return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = cut(both.mapInArrow(removed(kind), "doc_id long, spans binary"), "spans", release=True)
+    drop(runs)
+    # rows that repeat a doc_id may lie in two runs; joins with the documents are merged alike at every size
+    return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")).hint("merge")
 
 
 def spans_of(value) -> np.ndarray:

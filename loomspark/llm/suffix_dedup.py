@@ -138,11 +138,10 @@ class Bytes(Kind):
         c.data = data
         return c
 
-    def pieces(self, c: BytesChunk, anchors: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def pieces(self, c: BytesChunk, anchors: np.ndarray, la: np.ndarray, ra: np.ndarray) -> np.ndarray:
         out = np.zeros((len(anchors), self.width), np.uint8)
         if not len(anchors):
             return out
-        la, ra = np.minimum(self.left, anchors - c.at[doc]), np.minimum(self.window, c.at[doc + 1] - anchors)
         right, left = np.arange(self.window), np.arange(self.left)
         out[:, : self.window] = np.where(right < ra[:, None], c.data[np.minimum(anchors[:, None] + right, len(c.data) - 1)], 0)
         out[:, self.window : -2] = np.where(left < la[:, None], c.data[np.maximum(anchors[:, None] - 1 - left, 0)], 0)
@@ -174,7 +173,7 @@ class Bytes(Kind):
         np.minimum.at(first, entry, doc)
         la, ra = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
         left = np.ascontiguousarray(rows[:, self.window : -2])
-        # left parts end in zeros where the document starts; only offsets within la are asked for
+        # left parts end in zeros behind la bytes; only offsets within la are asked for
         if self.left:
             order = np.argsort(left.view(f"S{self.left}").ravel(), kind="stable")
             differs = left[order][1:] != left[order][:-1]
@@ -237,3 +236,20 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = False)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.i FROM w JOIN f ON f.s = w.s WHERE f.m < w.doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, k),
+k AS (SELECT doc_id, a AS upto, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS start FROM p
+      UNION ALL SELECT doc_id, NULL, max(b) FROM p GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (coalesce(upto, length(h) // 2) - start)), '' ORDER BY start) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+x AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
+"""
