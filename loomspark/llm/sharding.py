@@ -30,7 +30,7 @@ def propagate(nodes: DataFrame, n_shards: int, rounds: int = 4) -> DataFrame:
         old = state
         here = state.where("link IS NOT NULL").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         best = here.groupBy("link").agg(F.sum("n").alias("members"), F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).where("members > 1")
-        best = best.select("link", (-F.col("b.s")).alias("want"), F.col("b.n").alias("near"))
+        best = cut(best.select("link", (-F.col("b.s")).alias("want"), F.col("b.n").alias("near")), "best")  # a table of its own, so that the join can split a hot link
         asked = state.join(best, "link", "left").withColumn("want", F.coalesce("want", "shard")).withColumn("near", F.coalesce("near", F.lit(0)))
         asked = cut(asked.select(*nodes.columns, "shard", "want", "near"), "asked")
         # by neighbours there (in powers of two), those already there first
@@ -47,7 +47,7 @@ def propagate(nodes: DataFrame, n_shards: int, rounds: int = 4) -> DataFrame:
         to = F.size(F.filter(F.array(*(F.lit(e) for e in ends)), lambda e: e <= F.col("_over"))).cast("int")
         state = placed.where(fits).select(*nodes.columns, F.col("want").alias("shard")).unionByName(over.select(*nodes.columns, to.alias("shard")))
         state = cut(state, "shards")
-        for x in (old, asked, placed):
+        for x in (old, best, asked, placed):
             drop(x)
     return state
 
