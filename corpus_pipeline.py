@@ -7,7 +7,6 @@ documents, but for the last, which returns packed pieces. run() writes each stag
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomspark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from loomspark.llm.common import cut
@@ -33,12 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number (0 to 2); one without words once."""
-    taken = mixing.mix(docs)
-    times = taken.groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1)).cast("int").alias("__times"))
-    times = times.where("__times > 0").withColumnRenamed("doc_id", "__of")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__of")))
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """The words that the mix draws, a row for each run of them; a document without words stays."""
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

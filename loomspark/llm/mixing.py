@@ -3,7 +3,8 @@
 The words of a source, document after document, form a stream that is cut into blocks of BLOCK words. The mix consists of
 output shards of SLOTS slots. Each shard draws how many of its slots each source gets: the whole part of its expectation,
 and a multinomial draw for what is left. A source's n-th slot maps to a block by a pseudorandom permutation of the
-block indices, another for each pass over the source; slots and documents then meet by (source, block).
+block indices, another for each pass over the source; slots and documents then meet by (source, block). mix() tells what
+each document gives, mixed() gives the words themselves.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, documents, partitions, whole_text
+from .common import SPACE, WORD, cut, documents, partitions, whole_text
 
 BLOCK, SLOTS, BUCKETS, SEED = 128, 1024, 1024, 11
 WEIGHTS = (3, 1, 2)
 MOST = 2  # passes over a source
+#: A word with the gap behind it, the first also with the one before it: all of them make up the text.
+WORD_AND_GAP = f"(?:^{SPACE}+)?{WORD}{SPACE}*"
 #: Primes for the permutations' factors.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)
 
@@ -43,16 +46,13 @@ def targets(sizes: list[tuple[str | None, int]], share: float, weights=WEIGHTS,
     return out
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, seed: int = SEED, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs (and source).
-
-    Words are `[^\\x20\\x09-\\x0D]+`, null text none. Null is a source of its own, the last. A document of no words has
-    taken 0. The result depends on the rows and the seed only, not on partitions. Figures of the sources (a few numbers
-    for each, not for each document) are gathered at the driver: their number has to be one that a driver can hold.
+def _draw(docs: DataFrame, share: float, weights, seed: int, block: int, slots: int, key: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """Documents' places in the streams (a table), and the part of each that lies in a drawn block: i, at, to, first, words,
+    times. Nothing is drawn without words. Both hold the columns of key, which tell apart rows of one doc_id and size.
     """
     spark = docs.sparkSession
     # (source, bucket, doc_id) orders the stream; rows that tie are alike
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(whole_text(docs), F.lit(WORD)).cast("long").alias("size"))
+    d = docs.select("doc_id", *key, F.col("source").cast("string").alias("source"), F.regexp_count(whole_text(docs), F.lit(WORD)).cast("long").alias("size"))
     d = cut(d.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(BUCKETS)).cast("int")), "sizes")
     per = d.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     sizes = [(r["source"], int(r["n"])) for r in per]
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, seed: int = SEED,
     named = d.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("src")))
     total = sum(want)
     if not total:
-        return named.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return named, None
 
     # slots of the output shards
     shards = ceil(total / slots)
@@ -106,18 +106,58 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, seed: int = SEED,
     rows = d.select("source", "bucket", "size").groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    w = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = named.withColumn("upto", F.sum("size").over(w)).join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "i", (F.col("first") + F.col("upto") - F.col("size")).alias("at"), (F.col("first") + F.col("upto")).alias("to"))
+    placed = placed.select("doc_id", *key, "source", "size", "source_size", "target", "i", (F.col("first") + F.col("upto") - F.col("size")).alias("at"), (F.col("first") + F.col("upto")).alias("to"))
     placed = cut(placed, "placed")
     parts = placed.where("size > 0").select(
-        "doc_id", "i", "at", "to", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("to") - 1) / block))).alias("block")
+        *key, "i", "at", "to", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("to") - 1) / block))).alias("block")
     )
-    words = F.least(F.col("to"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    taken = parts.join(times, ["i", "block"]).groupBy("i", "at", "to").agg(F.sum(words * F.col("times")).alias("got"))
+    first = F.greatest(F.col("at"), F.col("block") * block)
+    words = F.least(F.col("to"), (F.col("block") + 1) * block) - first
+    return placed, parts.join(times, ["i", "block"]).select(*key, "i", "at", "to", "block", (first - F.col("at")).alias("first"), words.alias("words"), "times")
+
+
+def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, seed: int = SEED, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row of docs (and source).
+
+    Words are `[^\\x20\\x09-\\x0D]+`, null text none. Null is a source of its own, the last. A document of no words has
+    taken 0. The result depends on the rows and the seed only, not on partitions. Figures of the sources (a few numbers
+    for each, not for each document) are gathered at the driver: their number has to be one that a driver can hold.
+    """
+    placed, parts = _draw(docs, share, weights, seed, block, slots)
+    if parts is None:
+        return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    taken = parts.groupBy("i", "at", "to").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
     got = placed.join(taken.withColumnRenamed("to", "t_to"), ["i", "at"], "left").where("t_to IS NULL OR t_to = to OR size = 0")
     return got.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, seed: int = SEED, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """The words that mix() counts: for each pass, one row with the columns of docs for each run of drawn words of a document.
+
+    text is the run with the gaps between and behind its words, n_chars (if there) its length; the other columns are the
+    document's. A document of no words, which no block can hold, stays once as it is.
+    """
+    # numbers that are written hold for both reads
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.xxhash64("text")), "rows")
+    placed, parts = _draw(rows, share, weights, seed, block, slots, ("__text", "__row"))
+    runs = placed.where("size = 0").select("__row", F.lit(None).cast("array<struct<first: int, words: int>>").alias("__runs"))
+    if parts is not None:
+        each = parts.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        each = each.withColumn("run", F.col("block") - F.row_number().over(Window.partitionBy("__row", "turn").orderBy("block")))
+        each = each.groupBy("__row", "turn", "run").agg(F.min("first").cast("int").alias("first"), F.sum("words").cast("int").alias("words"))
+        runs = runs.unionByName(each.groupBy("__row").agg(F.collect_list(F.struct("first", "words")).alias("__runs")))
+    joined = rows.drop("__text").join(runs, "__row")
+    # an array of one, so that the words of a text are looked for once and not for each run
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)))
+    cuts = F.transform(words, lambda w: F.transform("__runs", lambda r: F.array_join(F.slice(w, r["first"] + 1, r["words"]), "")))[0]
+    out = joined.withColumn("__cut", F.explode(F.when(F.col("__runs").isNull(), F.array("text")).otherwise(cuts)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("__cut")).cast(kind))
+    return out.withColumn("text", F.col("__cut")).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

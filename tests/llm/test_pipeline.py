@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import corpus_pipeline
 from loomspark.llm import mixing
 from test_operators import SPACE, jaccard_components
@@ -32,3 +34,28 @@ def test_stages(docs, rows, spark, tmp_path):
             assert mixing.mix(now).count() == len(kept) and {i for i, _, _ in kept} <= {i for i, _, _ in old}
     assert corpus_pipeline.STAGES[-1][1](spark, now, d).count() >= now.count()
     assert corpus_pipeline.run(spark, d).count() > 0
+
+
+def test_mixing_emits_the_words_it_draws(frame, spark):
+    docs = {"s0": 60, "s1": 90, "s2": 39, "s3": 60, "s4": 12, "s5": 39}  # s1 is large and of small weight
+    rows = [(n, s) for s, k in docs.items() for n in range(k)]
+    rows = [(i, " \n" * (i % 3) + "".join(f"d{i}w{n}" + ("  " if n % 7 else "\n") for n in range(1500)), s) for i, (_, s) in enumerate(rows)]
+    rows += [(None, " ".join(f"null{k}w{n}" for n in range(300)), "s1") for k in range(2)] + [(9000, None, "s0"), (9001, "  ", "s0")]
+    table = frame(rows)
+    out = corpus_pipeline.mix_sources(spark, table, "").collect()
+    by_doc, by_source, texts = Counter(), Counter(), defaultdict(list)
+    for i, t, s in rows:
+        texts[i].append(t)
+    for r in out:
+        n = len((r.text or "").split())
+        by_doc[r.doc_id] += n
+        by_source[r.source] += n
+        assert any(r.text is t or (r.text or "") in (t or "") for t in texts[r.doc_id])
+        assert r.n_chars == len(r.text or "")
+    took, goal = Counter(), {}
+    for r in mixing.mix(table).collect():
+        took[r.doc_id] += r.taken
+        goal[r.source] = r.target
+    assert by_doc == took and sum(r.doc_id in (9000, 9001) for r in out) == 2
+    assert all(abs(by_source[s] - x) <= 0.05 * x + 256 for s, x in goal.items()), (by_source, goal)
+    assert corpus_pipeline.mix_sources(spark, frame(rows[-2:]), "").count() == 2 and corpus_pipeline.mix_sources(spark, frame([]), "").count() == 0
