@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from re import _constants as sre
 
 import numpy as np
 import pytest
@@ -258,6 +260,51 @@ def test_license_prefilter_loses_nothing():
         assert every == gated and {x[2] for x in scanner.scan(text)} <= every and scanner.scan(text)
 
 
+def written(tree, rng: random.Random) -> str:
+    """A text that a parsed expression matches."""
+    out = ""
+    for op, x in tree:
+        if op is sre.LITERAL:
+            out += chr(x)
+        elif op is sre.IN:
+            kind, y = rng.choice(x)
+            out += chr(y) if kind is sre.LITERAL else rng.choice([" ", "\n", "  ", "\t"]) if y is sre.CATEGORY_SPACE else rng.choice("0123456789")
+        elif op is sre.BRANCH:
+            out += written(rng.choice(x[1]), rng)
+        elif op is sre.SUBPATTERN:
+            out += written(x[-1], rng)
+        elif op is sre.MAX_REPEAT:
+            out += "".join(written(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
+        else:
+            assert op is sre.ASSERT_NOT  # no letter or digit beside the match
+    return out
+
+
+def test_license_gate_lets_every_match_pass():
+    scanner, rng = licenses.Scanner(), random.Random(3)
+    for rule, pattern in scanner.rules:
+        tree = re._parser.parse(rule.pattern)
+        for _ in range(30):
+            text = written(tree, rng)
+            assert pattern.search(text), (rule, text)
+            gated = set(scanner.matching(scanner.seen(text)))
+            assert {i for i, (_, p) in enumerate(scanner.rules) if p.search(text)} <= gated, (rule, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("placed in the public\ndomain", {"public-domain"}),
+        ("under the sil open\nfont license", {"ofl-1.1"}),
+        ("gnu general\npublic license, version 3", {"gpl-3"}),
+        ("creative  commons\nzero", {"cc0"}),
+        ("in accordance with mit license", {"mit"}),
+    ],
+)
+def test_license_rules_across_lines(text, labels):
+    assert {x[2] for x in licenses.Scanner().scan(text)} == labels
+
+
 def test_toxicity(frame, spark, empty):
     rows = [(i, f"plain words about river {i} " * 5 + ("you Idiot scumbag " if i % 4 == 0 else ""), "s") for i in range(600)] + [(None, "idiot", None), (5000, None, "s"), (5001, "", "s"), (5, "plain words", "s")]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 600, 2)] + [(None, 1), (3, None)], "doc_id long, toxic int")
