@@ -13,7 +13,8 @@ PRECEDENCE = ("BIGINT", "DOUBLE", "DATE", "TIMESTAMP")
 #: Placeholders that stand for a missing value, and the share from which one is reported.
 SENTINELS = ("", "--empty--", "n/a", "N/A", "NA", "NULL", "null", "None", "none", "Other", "unknown")
 SENTINEL_SHARE = 0.02
-FULL_SCAN_ROWS, SAMPLE_ROWS = 1_000_000, 1_000_000
+#: Rows that are looked at where a caller asks for a sample.
+SAMPLE_ROWS = 1_000_000
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
 _WHEN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?$"
@@ -63,20 +64,26 @@ def native(kind: T.DataType) -> str:
     return names.get(kind.simpleString(), kind.simpleString().upper())
 
 
-def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, full_scan_rows: int = FULL_SCAN_ROWS, sample_rows: int = SAMPLE_ROWS, sentinels: bool = False) -> Inference:
-    """Types of all columns: native ones as they are, text ones by what no value contradicts, overrides before all."""
+def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, full_scan_rows: int | None = None, sample_rows: int = SAMPLE_ROWS, sentinels: bool = False) -> Inference:
+    """Types of all columns: native ones as they are, text ones by what no value contradicts, overrides before all.
+
+    Every row is looked at, unless full_scan_rows is given: a table of more rows is then sampled to about sample_rows, and
+    failures are counts of the sample.
+    """
     overrides = overrides or {}
     types = {f.name: native(f.dataType) for f in df.schema}
     text = text_columns(df)
     probe = [c for c in text if c not in overrides]
     rows, mode, failures = 0, "empty", {}
     if probe:
-        rows = df.count()
-        mode = "full" if rows <= full_scan_rows else "sampled"
-        source = df if mode == "full" else df.sample(min(1.0, sample_rows / rows), seed=7)
-        tests = [F.count(_name(c)).alias(f"{i}:n") for i, c in enumerate(probe)]
+        source, mode = df, "full"
+        if full_scan_rows is not None and (rows := df.count()) > full_scan_rows:
+            source, mode = df.sample(min(1.0, sample_rows / rows), seed=7), "sampled"
+        tests = [F.count(F.lit(1)).alias("rows")]
+        tests += [F.count(_name(c)).alias(f"{i}:n") for i, c in enumerate(probe)]
         tests += [F.count_if(_name(c).isNotNull() & ~F.coalesce(fits(_name(c), k), F.lit(False))).alias(f"{i}:{k}") for i, c in enumerate(probe) for k in PRECEDENCE]
         found = source.agg(*tests).first()
+        rows = found["rows"] if mode == "full" else rows
         for i, c in enumerate(probe):
             failures[c] = {k: found[f"{i}:{k}"] for k in PRECEDENCE}
             if found[f"{i}:n"]:

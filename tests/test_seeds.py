@@ -18,6 +18,17 @@ def test_inference(spark):
     assert infer_types(spark.createDataFrame([("1.0d",), ("2026",)], "a string")).types == {"a": "VARCHAR"}
 
 
+def test_inference_looks_at_every_row(spark, tmp_path):
+    n = 1_100_000
+    df = spark.range(n).selectExpr("CASE WHEN id % 100000 = 99 THEN 'x' ELSE CAST(id AS STRING) END AS a", "'word' AS b")
+    found = infer_types(df)
+    assert found.mode == "full" and found.rows == n and found.types == {"a": "VARCHAR", "b": "VARCHAR"}
+    assert found.failures["a"]["BIGINT"] == 11 and found.failures["b"]["DOUBLE"] == n
+    df.write.parquet(f"{tmp_path}/big")
+    table, found = read_seed(spark, discover(tmp_path)[0])
+    assert found.mode == "full" and table.where("a = 'x'").count() == 11
+
+
 def test_sentinels(spark):
     df = spark.createDataFrame([("",), ("",), ("a",), ("b",), ("c",), (None,)], "role string")
     assert detect_sentinels(df, ["role"])["role"].shares == {"": 0.4}
