@@ -1,10 +1,13 @@
-"""Substring dedup with a compressed FM-index for each shard.
-
-Shards hold the pieces of text around repeated anchors (see `passages`). A shard's pieces, as symbols for words, are
-concatenated; their suffixes are sorted by doubling, and the Burrows-Wheeler transform is kept as a wavelet matrix of
-packed bits with block counts. The documents' windows are streamed through it by backward search, all at once and a
-symbol a step: a search stops as soon as a single place is left, and the lengths reached are the matching statistics.
-Intervals that are still wider at the threshold, a whole window, are reported with their earliest place.
+"""Substring dedup with FM-indexes of the pieces of each shard.
+
+Shards hold the pieces of text around repeated anchors (see `passages`), each distinct piece once: equal pieces within a run
+of documents are told by a sort of hashes before any index sees them. A shard's pieces are split by their anchor into
+groups of about 5,000. Of each group a throw-away index is made: the pieces, as symbols for words, are concatenated; their
+suffixes are sorted by doubling, and the Burrows-Wheeler transform is kept as a wavelet matrix of packed bits with block
+counts, beside the whole suffix array. The group's own windows, not the documents, are looked up in it by backward search,
+all at once and a symbol a step: a search stops as soon as a single place is left, and no lengths are kept. What the index
+decides is which windows of different pieces are equal: intervals that are still wider than one place at the threshold, a
+whole window, are reported with their earliest place.
 """
 
 from __future__ import annotations
