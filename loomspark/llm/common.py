@@ -31,8 +31,10 @@ def whole_text(docs: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a fresh local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one where it is unset and Spark runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (found or _own_dir()).rstrip("/")
 
 
@@ -45,6 +47,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/loom-{tag}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """A folder that is there already goes when the driver ends, if nobody has deleted it before."""
+    store, at = _at(spark, path)
+    store.deleteOnExit(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _at(spark, path)
+    store.delete(at, True)
+
+
 def cut(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a lost executor costs only the current step.
 
@@ -53,6 +71,7 @@ def cut(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    until_exit(spark, path)
     del df
     for _ in range(3 if release else 1):
         gc.collect()  # Python's handles of plans go first,
@@ -64,24 +83,31 @@ def cut(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes the files behind a table made by cut()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def gapless(df: DataFrame, name: str, groups: list[str], order: list[Column], lead: Column | None = None, buckets: int = 1024) -> DataFrame:
+def input_bytes(df: DataFrame) -> int:
+    """Bytes behind df as Spark's statistics have them, from the files' sizes; nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Rows of a bucket that gapless() numbers in one task, about.
+BUCKET_ROWS = 100_000
+
+
+def gapless(df: DataFrame, name: str, groups: list[str], order: list[Column], lead: Column | None = None, buckets: int = 64) -> DataFrame:
     """Adds a long column that numbers the rows of each group from 0 without gaps.
 
-    No task sees a whole group: rows are numbered within hash buckets of a group, and bucket sizes (at most `buckets` a
-    group and lead) are summed up to give each bucket its first number. `lead` (int) sorts before the bucket.
-    df is read twice, so it must be a table.
+    No task sees a whole group: rows are numbered within hash buckets of a group, and bucket sizes (a group and lead has
+    `buckets` of them, or more where buckets would exceed BUCKET_ROWS rows) are summed up to give each bucket its first
+    number. `lead` (int) sorts before the bucket. df is read twice and its rows are counted, so it must be a table.
     """
+    buckets = max(buckets, -(-df.count() // BUCKET_ROWS))
     lead = F.lit(0) if lead is None else lead
     df = df.withColumn("_lead", lead).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     keys = [*groups, "_lead", "_bucket"]

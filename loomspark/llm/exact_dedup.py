@@ -31,7 +31,8 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, factor: int = FACTOR) -> Da
 
     Texts are equal when identical after each run of white space became one space; null counts as empty. Of equal
     texts the smallest doc_id stays. A row without doc_id stays and joins no group (keep_id null, group_size 1). Rows
-    that repeat a doc_id with an equal text count singly and share their verdict. Other columns are ignored.
+    that repeat a doc_id with an equal text count singly and share their verdict. A text of any length stays in the JVM.
+    Other columns are ignored; an empty table gives no row.
     """
     text = normalised(docs)
     rows = docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.lit(None).cast("binary").alias("grp"), text.cast("binary").alias("rest"))
@@ -77,7 +78,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+SELECT doc_id, CASE WHEN doc_id IS NOT NULL THEN min(doc_id) OVER (PARTITION BY t) END AS keep_id,
+       CASE WHEN doc_id IS NULL THEN 1 ELSE count(doc_id) OVER (PARTITION BY t) END AS group_size,
+       doc_id IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, documents, text_chunks
-from .texthash import word_bounds, word_hashes
+from .texthash import word_bounds, word_chunks, word_hashes
 
 WINDOW, END = 2048, 1
-#: Distinct words that a worker keeps the ids of; more, and it starts anew.
-KEPT_WORDS = 1_000_000
+#: Distinct words that a worker keeps the ids of; more, and it starts anew. Longer words than KEPT_LENGTH bytes aren't kept.
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 256
+#: Pieces handed on at once, of at most a window each.
+ROWS = 2000
 #: What surely parts words for the tokenizer.
 NOT_GAP = np.ones(256, bool)
 NOT_GAP[[0x20, 0x09, 0x0A, 0x0D]] = False
@@ -37,7 +38,8 @@ NOT_GAP[[0x20, 0x09, 0x0A, 0x0D]] = False
 class WordIds:
     """Ids of the words between gaps, by a tokenizer that never joins across them.
 
-    Words are known by 64-bit hashes, in sorted arrays; the tokenizer sees each word once in a worker's life.
+    Words are looked up by 64-bit hashes, in sorted arrays, and compared byte by byte with the word kept there: one of
+    another spelling goes to the tokenizer itself. Else the tokenizer sees each word once in a worker's life.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
@@ -49,43 +51,72 @@ class WordIds:
 
     def _reset(self) -> None:
         self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.flat = np.zeros(1 << 17, np.uint32)
-        self.used = 0
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int32, len(ids))
-        new = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))
+        #: of each word: ids' place and number, bytes' place (in numbers of eight) and length
+        self.words = np.zeros((1 << 16, 4), np.int64)
+        self.flat, self.used = np.zeros(1 << 17, np.uint32), 0
+        self.bytes, self.filled = np.zeros(1 << 17, np.uint64), 0
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return n, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))
+
+    @staticmethod
+    def _put(store: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+        while used + len(new) > len(store):
+            store = np.concatenate([store, np.zeros_like(store)])
+        store[used : used + len(new)] = new
+        return store
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        n, new = self._ids([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        chunks, at = word_chunks(data, starts, ends)
+        rows = np.stack([self.used + np.cumsum(n) - n, n, self.filled + at[:-1], ends - starts], 1)
         first = len(self.keys)
-        while first + len(ids) > len(self.n):
-            self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[self.used : self.used + len(new)] = new
-        self.n[first : first + len(ids)] = n
-        self.at[first : first + len(ids)] = self.used + np.cumsum(n) - n
-        self.used += len(new)
+        self.words = self._put(self.words, first, rows)
+        self.flat, self.used = self._put(self.flat, self.used, new), self.used + len(new)
+        self.bytes, self.filled = self._put(self.bytes, self.filled, chunks), self.filled + len(chunks)
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
-        self.codes = np.insert(self.codes, where, np.arange(first, first + len(ids), dtype=np.int32))
+        self.codes = np.insert(self.codes, where, np.arange(first, first + len(n), dtype=np.int32))
 
-    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where each text's begin and end."""
-        starts, ends, doc = word_bounds(data, offsets, NOT_GAP)
-        keys, example, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    def _kept(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of self.words for the words, and which of the words they really are."""
+        hashes = word_hashes(data, starts, ends)
+        keys, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.kept:
             self._reset()
         where = np.searchsorted(self.keys, keys)
         new = np.append(self.keys, np.uint64(0))[where] != keys
         new[where == len(self.keys)] = True
         if new.any():
-            self._learn(keys[new], [data[starts[i] : ends[i]].tobytes().decode() for i in example[new].tolist()])
+            self._learn(keys[new], data, starts[example[new]], ends[example[new]])
             where = np.searchsorted(self.keys, keys)
-        codes = self.codes[where][which]
-        n = self.n[codes].astype(np.int64)
+        rows = self.words[self.codes[where][which]]
+        same = rows[:, 3] == ends - starts
+        chunks, at = word_chunks(data, starts, ends)
+        n = np.diff(at)
+        place = np.minimum(np.repeat(rows[:, 2] - at[:-1], n) + np.arange(at[-1]), self.filled - 1)
+        if len(chunks):
+            same &= np.logical_and.reduceat(self.bytes[place] == chunks, at[:-1])
+        return rows, same
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin and end."""
+        starts, ends, doc = word_bounds(data, offsets, NOT_GAP)
+        place, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(ends - starts <= KEPT_LENGTH)
+        own = ends - starts > KEPT_LENGTH
+        rows, same = self._kept(data, starts[short], ends[short])
+        place[short], n[short] = rows[:, 0], rows[:, 1]
+        own[short[~same]] = True
+        flat = self.flat
+        if own.any():
+            n[own], more = self._ids([data[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+            place[own] = self.used + np.cumsum(n[own]) - n[own]
+            flat = np.concatenate([flat[: self.used], more])
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.at[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        ids = flat[np.repeat(place - upto[:-1], n) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(doc, np.arange(len(offsets)))]
 
 
@@ -94,7 +125,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, nth long"
 
 
 def pieces(path: str, window: int):
@@ -102,7 +133,7 @@ def pieces(path: str, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, part = word_ids(path), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
@@ -117,10 +148,10 @@ def pieces(path: str, window: int):
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     n = len(piece)
-                    rows.append((doc, start, n, zlib.crc32(piece), len(ids), part, int(seen[n])))
+                    rows.append((doc, start, n, piece.tobytes(), len(ids), part, int(seen[n])))
                     seen[n] += 1
-            if len(rows) >= 10_000:
-                yield batch()
+                    if len(rows) >= ROWS:
+                        yield batch()
         if rows:
             yield batch()
 
@@ -168,6 +199,9 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64).reshape(-1, 4) for k, v in out.items()}
 
 
+KEPT = ("doc_id", "start", "length", "ids", "doc_tokens")
+
+
 def place(entries: dict[int, np.ndarray]):
     """Sequence and offset of pieces by length and rank."""
 
@@ -184,17 +218,18 @@ def place(entries: dict[int, np.ndarray]):
                 e = e[np.searchsorted(e[:, 0], r, "right") - 1]
                 window, nth = np.divmod(r - e[:, 0], e[:, 1])
                 sequence[rows], offset[rows] = e[:, 2] + window, e[:, 3] + nth * n
-            cols = [b.column(b.schema.get_field_index(k)) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            cols = [b.column(b.schema.get_field_index(k)) for k in KEPT]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], names=[*KEPT, "sequence_id", "offset"])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row for each piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset; ids are little-endian 32-bit numbers.
 
     tokenizer: path of a `tokenizers` file whose pieces never span a space or newline. A null or empty text is the id 1
-    alone. Repeated and null doc_ids are packed as any row. Other columns are ignored.
+    alone; a text of any length is cut into windows. Repeated and null doc_ids are packed as any row. Other columns are
+    ignored, and an empty table gives no piece.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -206,8 +241,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = t.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
-    return ranked.mapInArrow(place(plan(histogram, window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(place(plan(histogram, window)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    found = pack(documents(spark, sf_dir))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -17,10 +17,8 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_random = np.random.Generator(np.random.PCG64(20240607))
-BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACES = 1 << 12
-PLACE = np.cumprod(np.full(_PLACES, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -50,21 +48,34 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def word_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's bytes as little-endian numbers of 8 bytes, zeros behind its end; and where each run's numbers begin, with the end."""
+    n = (ends - starts + 7) >> 3
+    at = np.concatenate([[0], np.cumsum(n)])
+    place = np.repeat(starts - 8 * at[:-1], n) + 8 * np.arange(at[-1])
+    lo = int(starts.min()) if len(starts) else 0
+    room = np.concatenate([data[lo : int(ends.max()) if len(ends) else 0], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(room) - 7,), "<u8", room.data, strides=(1,))
+    return eight[place - lo] & FIRST_BYTES[np.minimum(np.repeat(ends, n) - place, 8)], at
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each run's bytes; words are taken in blocks, so memory stays bounded for long texts."""
+    """A 64-bit hash of each run's bytes; words are taken in blocks, so memory stays bounded for long texts.
+
+    Every eight bytes enter with their place, whatever the length; words of up to eight bytes and one length never collide.
+    """
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + block)))
         a, b = starts[at:to], ends[at:to]
-        lo, hi = int(a[0]), int(b[-1])
-        place = np.zeros(hi - lo, np.int64)
-        place[a - lo] = 1
-        run = np.cumsum(place) - 1  # number of the word
-        place = np.arange(hi - lo) - (a - lo)[run]
-        x = BYTE[data[lo:hi]] * PLACE[place % _PLACES]
-        x[place >= (b - a)[run]] = 0
-        lengths = (b - a).astype(np.uint64)
-        out[at:to] = mixed(np.add.reduceat(x, a - lo) + lengths * np.uint64(0xD1B54A32D192ED03))
+        x, first = word_chunks(data, a, b)
+        x = mixed(x)
+        later = np.ones(len(x), bool)
+        later[first[:-1]] = False
+        later = np.flatnonzero(later)
+        place = (later - first[np.searchsorted(first, later, "right") - 1]).astype(np.uint64)
+        x[later] = mixed(x[later] + place * np.uint64(0x9E3779B97F4A7C15))
+        out[at:to] = mixed(np.add.reduceat(x, first[:-1]) + (b - a).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         at = to
     return out
 
