@@ -349,10 +349,73 @@ def test_media(docs, rows, empty, spark, tmp_path):
     assert len(found) == n and len(bad) == 1 and bad[0].tries == media.TRIES and bad[0].payload is None
 
 
-def test_mixing_targets():
-    assert mixing.targets([("a", 100), ("b", 100), ("c", 100)], 1.5) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets([("a", 10), ("b", 0), (None, 10)], 1.5) == pytest.approx([18, 0, 12])
-    assert mixing.targets([], 1.5) == [] and mixing.targets([("a", 5)], 3.0) == [10.0]
+def shared_out(sizes: list[tuple[str | None, int]], share: float) -> dict:
+    """Targets by brute force: fill up by weight, stop at twice a size, share the excess anew."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weigh = {s: (3, 1, 2)[k % 3] for k, (s, _) in enumerate(order)}
+    out, left, open_ = dict.fromkeys(weigh, 0.0), share * sum(n for _, n in sizes), dict(sizes)
+    while open_:
+        unit = left / sum(weigh[s] for s in open_)
+        full = [s for s, n in open_.items() if unit * weigh[s] >= 2 * n]
+        for s in full or list(open_):
+            out[s] = 2.0 * open_[s] if full else unit * weigh[s]
+            left -= out[s]
+            del open_[s]
+    return out
+
+
+@pytest.mark.parametrize(
+    ("sizes", "share"),
+    [([("a", 100), ("b", 100), ("c", 100)], 1.5), ([("a", 10), ("b", 0), (None, 10)], 1.5), ([("a", 5)], 3.0), ([(f"s{i}é", i * i % 71) for i in range(40)] + [(None, 9)], 1.5), ([("Z", 7), ("a", 1), ("é", 50), ("\U0001f600", 4), ("\uffee", 3)], 1.2)],
+)
+def test_mixing_targets(spark, sizes, share):
+    got = mixing.targets(spark.createDataFrame(sizes, "source string, size long"), share).collect()
+    assert {r.src: r.target for r in got} == pytest.approx(shared_out(sizes, share))
+    assert sorted(r.i for r in got) == list(range(len(sizes)))
+    assert mixing.targets(spark.createDataFrame([], "source string, size long"), share).count() == 0
+
+
+def test_mixing_permutes_blocks(spark):
+    rows = [(i, s, n) for i, n in enumerate((1, 2, 3, 5, 17, 100, 2500)) for s in range(2 * n)]
+    got = mixing.blocks_of(spark.createDataFrame(rows, "i long, slot long, blocks long"), 3).collect()
+    passes = defaultdict(list)
+    for r in got:
+        passes[r.i, r.slot // r.blocks].append((r.slot, r.block))
+    for (_, p), found in passes.items():
+        n = len(found)
+        assert sorted(b for _, b in found) == list(range(n))
+        if n > 50:
+            assert sum(b == s % n for s, b in found) < 10 and len({(b - s) % n for s, b in found}) > n // 3
+            if p:
+                first = dict(passes[next(k for k in passes if len(passes[k]) == n and k[1] == 0)])
+                assert sum(b == first[s - n] for s, b in found) < 10
+    far = [(0, 10**11 - 1 - k * 7, 10**11) for k in range(300)] + [(0, 2 * 10**11 - 1 - k, 10**11) for k in range(300)]
+    got = [r.block for r in mixing.blocks_of(spark.createDataFrame(far, "i long, slot long, blocks long"), 3).collect()]
+    assert len(got) == 600 and len(set(got)) >= 598 and all(0 <= b < 10**11 for b in got)
+
+
+def test_mixing_counts_are_those_of_the_drawn_slots(spark, frame):
+    rows = [(i, "w " * (1 + i * 13 % 400), None if i % 9 == 0 else f"s{i % 9 // 3}") for i in range(900)]
+    docs = frame(rows)
+    sources = {r.src: r for r in mixing.targets(docs.select("source", mixing.F.regexp_count("text", mixing.F.lit("w")).cast("long").alias("size")), 1.5).collect()}
+    table = [(int(r.i), -(-r.n // 32), round(r.target * -(-r.n // 32) / r.n)) for r in sources.values()]
+    slots = mixing._drawn(spark.createDataFrame(table, "i long, blocks long, want long"), mixing.SEED, 64)
+    drawn = [(r.i, r.block, r.shard) for r in mixing.blocks_of(slots, mixing.SEED).collect()]
+    assert Counter(i for i, _, _ in drawn) == {i: n for i, _, n in table}
+    assert max(Counter((i, b) for i, b, _ in drawn).values()) <= 2
+    whole = [n for s, n in Counter(s for *_, s in drawn).items()]
+    assert sum(n > 40 for n in whole) > len(whole) // 2
+    placed, _ = mixing._draw(docs, 1.5, mixing.WEIGHTS, mixing.SEED, 32, 64)
+    want = {}
+    for r in placed.collect():
+        words = Counter(p // 32 for p in range(r["at"], r["to"]))
+        hits = [(b, s) for i, b, s in drawn if i == r.i and b in words]
+        want[r.doc_id] = sum(words[b] for b, _ in hits), len({s for _, s in hits})
+    got = {r.doc_id: (r.taken, r.shards) for r in mixing.mix(docs, block=32, slots=64).collect()}
+    assert got == want
+    for s, r in sources.items():  # streams of a source have no gap
+        spans = sorted((x["at"], x["to"]) for x in placed.collect() if x.source == s)
+        assert spans[0][0] == 0 and spans[-1][1] == r.n and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 def test_mixing(docs, rows, empty, frame):
@@ -377,7 +440,7 @@ def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    got = packing.pack(docs, window=256).collect()
+    got = [*packing.pack(docs, window=256).withColumn("ids_crc32", mixing.F.crc32("ids")).collect()]
     ids = [(d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for d, t, _ in rows]
     want = Counter((d, s, len(x[s : s + 256]), zlib.crc32(x[s : s + 256].tobytes()), len(x)) for d, x in ids for s in range(0, len(x), 256))
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
