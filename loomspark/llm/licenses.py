@@ -1,9 +1,9 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression over lower-cased text with a label, a priority and the keywords that its text must hold. An
-Aho-Corasick automaton over all keywords reads a text once, and only rules whose keywords all occur are run. Detections
-compete in order of priority, then length, then place: one that lies inside an interval already granted to another is
-suppressed. Rules are forms (how a licence is named) applied to families (what it is called); a caller may pass others.
+A rule is a regular expression over lower-cased text with a label and a priority; `license_rules` has them. Its keywords are
+read off the expression: words without white space that no match can lack. An Aho-Corasick automaton over all keywords reads a
+text once, and only rules whose keywords all occur are run. Detections compete in order of priority, then length, then place:
+one that lies inside an interval granted to another is suppressed.
 
 Besides, base phrases are looked up as runs of whole words; their labels hold whatever the rules say.
 """
@@ -13,80 +13,26 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+from re import _constants as sre
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, text_chunks
+from .license_rules import RULES
 from .texthash import ALNUM, LOWER, word_bounds
 
 #: Phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: How "cc by" may be written: its gap is one character of a class.
-CC = "cc-by|cc by|cc\tby|cc\nby"
-
-#: label, name in running text (regular expression), SPDX identifiers, keywords of the name: single words that no match can
-#: lack, as a blank may be written as any white space
-FAMILIES = [
-    ("agpl-3", r"(?:gnu )?(?:affero general public licen[cs]e|agpl),?(?: (?:version |v)?3)?(?:\.0)?", r"agpl-3\.0(?:-only|-or-later)?", ("affero|agpl",)),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? (?:version |v)?2\.1", r"lgpl-2\.1(?:-only|-or-later)?", ("lesser|lgpl", "2.1")),
-    ("lgpl-3", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? (?:version |v)?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later)?", ("lesser|lgpl", "3")),
-    ("gpl-2", r"(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later)?", ("general|gpl", "public|gpl", "2")),
-    ("gpl-3", r"(?:gnu )?(?:general public licen[cs]e|gpl),? (?:version |v)?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later)?", ("general|gpl", "public|gpl", "3")),
-    ("gpl", r"(?:gnu general public licen[cs]e|gnu gpl)", r"gpl", ("gnu",)),
-    ("apache-2", r"apache(?: software)? licen[cs]e,? (?:version |v)?2(?:\.0)?", r"apache-2\.0", ("apache", "2")),
-    ("apache-1.1", r"apache(?: software)? licen[cs]e,? (?:version |v)?1\.1", r"apache-1\.1", ("apache", "1.1")),
-    ("mit", r"(?:mit|expat) licen[cs]e", r"mit", ("mit|expat",)),
-    ("bsd-2-clause", r"(?:bsd[-\t\n ]2[-\t\n ]clause|(?:simplified|freebsd|2-clause) bsd)(?: licen[cs]e)?", r"bsd-2-clause", ("bsd",)),
-    ("bsd-3-clause", r"(?:bsd[-\t\n ]3[-\t\n ]clause|(?:new|modified|revised|3-clause) bsd)(?: licen[cs]e)?", r"bsd-3-clause", ("bsd",)),
-    ("bsd-4-clause", r"(?:bsd[-\t\n ]4[-\t\n ]clause|(?:original|4-clause) bsd)(?: licen[cs]e)?", r"bsd-4-clause", ("bsd",)),
-    ("isc", r"isc licen[cs]e", r"isc", ("isc",)),
-    ("mpl-1.1", r"mozilla public licen[cs]e,? (?:version |v)?1\.1", r"mpl-1\.1", ("mozilla|mpl", "1.1")),
-    ("mpl-2", r"mozilla public licen[cs]e,? (?:version |v)?2(?:\.0)?", r"mpl-2\.0", ("mozilla|mpl", "2")),
-    ("epl-1", r"eclipse public licen[cs]e,?(?: -)? (?:version |v)?1(?:\.0)?", r"epl-1\.0", ("eclipse|epl", "1")),
-    ("epl-2", r"eclipse public licen[cs]e,?(?: -)? (?:version |v)?2(?:\.0)?", r"epl-2\.0", ("eclipse|epl", "2")),
-    ("eupl-1.2", r"european union public licen[cs]e,? (?:version |v)?1\.2", r"eupl-1\.2", ("european", "union")),
-    ("cddl-1", r"common development and distribution licen[cs]e", r"cddl-1\.[01]", ("common", "development")),
-    ("artistic-2", r"artistic licen[cs]e,? (?:version |v)?2(?:\.0)?", r"artistic-2\.0", ("artistic", "2")),
-    ("artistic-1", r"artistic licen[cs]e", r"artistic-1\.0(?:-perl)?", ("artistic",)),
-    ("boost-1", r"boost software licen[cs]e", r"bsl-1\.0", ("boost|bsl",)),
-    ("zlib", r"zlib(?:/libpng)? licen[cs]e", r"zlib", ("zlib",)),
-    ("unlicense", r"(?:the )?unlicense", r"unlicense", ("unlicense",)),
-    ("wtfpl", r"do what the fuck you want to public licen[cs]e", r"wtfpl", ("fuck",)),
-    ("python-2", r"(?:python software foundation|psf) licen[cs]e", r"(?:psf|python)-2\.0", ("python|psf",)),
-    ("postgresql", r"postgresql licen[cs]e", r"postgresql", ("postgresql",)),
-    ("openssl", r"openssl licen[cs]e", r"openssl", ("openssl",)),
-    ("php-3", r"php licen[cs]e,? (?:version |v)?3(?:\.0\d?)?", r"php-3\.0\d?", ("php",)),
-    ("ruby", r"ruby licen[cs]e", r"ruby", ("ruby",)),
-    ("ofl-1.1", r"(?:sil )?open font licen[cs]e", r"ofl-1\.1", ("open", "font")),
-    ("ms-pl", r"microsoft public licen[cs]e", r"ms-pl", ("microsoft", "public")),
-    ("cc0", r"(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?", r"cc0-1\.0", ("cc0|commons", "cc0|zero")),
-    ("cc-by-nc-nd", r"cc[-\t\n ]by[-\t\n ]nc[-\t\n ]nd(?:[-\t\n ]\d\.\d)?", r"cc-by-nc-nd-\d\.\d", (CC, "nd")),
-    ("cc-by-nc-sa", r"cc[-\t\n ]by[-\t\n ]nc[-\t\n ]sa(?:[-\t\n ]\d\.\d)?", r"cc-by-nc-sa-\d\.\d", (CC, "sa")),
-    ("cc-by-nc", r"cc[-\t\n ]by[-\t\n ]nc(?:[-\t\n ]\d\.\d)?", r"cc-by-nc-\d\.\d", (CC, "nc")),
-    ("cc-by-nd", r"cc[-\t\n ]by[-\t\n ]nd(?:[-\t\n ]\d\.\d)?", r"cc-by-nd-\d\.\d", (CC, "nd")),
-    ("cc-by-sa", r"cc[-\t\n ]by[-\t\n ]sa(?:[-\t\n ]\d\.\d)?", r"cc-by-sa-\d\.\d", (CC, "sa")),
-    ("cc-by", r"(?:cc[-\t\n ]by(?:[-\t\n ]\d\.\d)|creative commons attribution)(?: licen[cs]e)?", r"cc-by-\d\.\d", (CC + "|creative", CC + "|commons")),
-    ("odbl", r"open (?:data commons open )?database licen[cs]e", r"odbl-1\.0", ("database|odbl",)),
-    ("public-domain", r"public domain", r"public-domain", ("public", "domain")),
-]
-
-#: priority, expression around {name} or {spdx}, keywords of the form. Higher priorities win.
-FORMS = [
-    (90, r"spdx-license-identifier:\s*{spdx}", ("spdx",)),
-    (85, r"licenses?/{spdx}(?:\.html|\.txt|/|)", ("license",)),
-    (80, r"(?:licensed|released|distributed|available|published|provided|redistributed) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}", ("under",)),
-    (75, r"governed by (?:the )?(?:terms of )?(?:the )?{name}", ("governed",)),
-    (70, r"(?:subject to|covered by|in accordance with) (?:the )?(?:terms of )?(?:the )?{name}", ("subject|covered|accordance",)),
-    (60, r"under (?:the )?(?:terms of )?(?:the )?{name}", ("under",)),
-    (50, r"licen[cs]e\s*[:=]\s*['\"]?(?:{name}|{spdx})", ("licen",)),
-    (20, r"{name}", ()),
-]
-
-#: No letter or digit on either side.
+#: No letter or digit on either side; what a blank of a rule stands for.
 EDGE = r"(?<![0-9a-z\x80-\U0010ffff])", r"(?![0-9a-z\x80-\U0010ffff])"
+BLANK = r"[\s*#]+"
+#: Letters that a keyword has at least, and keywords of a rule.
+LETTERS, KEYWORDS = 2, 3
 
 
 @dataclass(frozen=True)
@@ -94,23 +40,51 @@ class Rule:
     label: str
     priority: int
     pattern: str
-    #: each is alternatives parted by |, one of which must occur
-    keywords: tuple[str, ...]
 
 
-def rules() -> list[Rule]:
+def rules(lines: str = RULES) -> list[Rule]:
+    """Rules written one a line: label, priority, expression; lines that begin with # are remarks."""
     out = []
-    for label, name, spdx, words in FAMILIES:
-        for priority, form, more in FORMS:
-            keys = more if "{name}" not in form else (*words, *more)  # an identifier need not hold the name's words
-            if "{name}" in form and "{spdx}" in form:
-                keys = more
-            text = form.replace("{name}", f"(?:{name})").replace("{spdx}", f"(?:{spdx})")
-            text = re.sub(r" (?![^\[\]]*\])", r"\\s+", text)  # but not within a class
-            out.append(Rule(label, priority, EDGE[0] + text + EDGE[1], keys))
+    for line in lines.strip().splitlines():
+        if not line.startswith("#"):
+            label, priority, text = line.split(" ", 2)
+            text = re.sub(r" (?![^\[\]]*\])(\?|)", lambda m: BLANK if not m[1] else r"[\s*#]*", text)  # but not within a class
+            text = re.sub(r"\[- \]", r"(?:-|" + BLANK.replace("\\", "\\\\") + ")", text)
+            out.append(Rule(label, int(priority), EDGE[0] + f"(?:{text})" + EDGE[1]))
     return out
 
 
+def necessary(tree, now: str = "") -> list[frozenset[str]]:
+    """Sets of words of a parsed expression behind the letters `now`: a match holds one of each set, whatever stands between."""
+    out: list[frozenset[str]] = []
+    for op, x in [*tree, (None, None)]:
+        if op is sre.LITERAL and not chr(x).isspace():
+            now += chr(x)
+            continue
+        before, now = now, ""
+        if before:
+            out.append(frozenset([before]))
+        if op is sre.SUBPATTERN:
+            out += necessary(x[-1], before)
+        elif op is sre.MAX_REPEAT and x[0]:
+            out += necessary(x[2])
+        elif op is sre.BRANCH:
+            best = [max(necessary(y, before), key=_worth, default=None) for y in x[1]]
+            if all(best):
+                out.append(frozenset().union(*best))
+    return [s for s in out if _worth(s) >= LETTERS]
+
+
+def _worth(words: frozenset[str]) -> int:
+    return min(map(len, words))
+
+
+def keywords(pattern: str) -> list[frozenset[str]]:
+    """The most telling of the necessary words of a rule."""
+    found = dict.fromkeys(necessary(re._parser.parse(pattern)))
+    return sorted(found, key=lambda s: (-_worth(s), len(s), sorted(s)))[:KEYWORDS]
+
+
 class Scanner:
     def __init__(self, given: list[Rule] | None = None):
         import ahocorasick
@@ -120,9 +94,9 @@ class Scanner:
         self.need: list[list[int]] = []
         for r, _ in self.rules:
             self.need.append([])
-            for group in r.keywords:
+            for group in keywords(r.pattern):
                 bits = 0
-                for word in group.split("|"):
+                for word in sorted(group):
                     bits |= 1 << keys.setdefault(word, len(keys))
                 self.need[-1].append(bits)
         for word, bit in keys.items():
@@ -139,22 +113,37 @@ class Scanner:
         return self.gate[seen]
 
     def seen(self, text: str) -> int:
-        out = 0
-        for _, bit in self.automaton.iter(text):
-            out |= bit
-        return out
+        return reduce(or_, {bit for _, bit in self.automaton.iter(text)}, 0)
 
     def scan(self, text: str) -> list[tuple[int, int, str, int]]:
         """Granted detections (start, end, label, priority) of lower-cased text, by start."""
-        found = []
-        for i in self.matching(self.seen(text)):
-            rule, pattern = self.rules[i]
-            found += [(-rule.priority, m.start() - m.end(), m.start(), i, m.end()) for m in pattern.finditer(text)]
-        out: list[tuple[int, int, str, int]] = []
-        for p, _, start, i, end in sorted(found):
-            if not any(a <= start and end <= b for a, b, *_ in out):
-                out.append((start, end, self.rules[i][0].label, -p))
-        return sorted(out)
+        found = [(m.start(), m.end(), i) for i in self.matching(self.seen(text)) for m in self.rules[i][1].finditer(text)]
+        return [(a, b, self.rules[i][0].label, self.rules[i][0].priority) for a, b, i in self.granted(found)]
+
+    def granted(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Detections (start, end, rule) that lie in none which goes before them: of higher priority, else longer, else of an earlier rule.
+
+        One that lies in a suppressed detection lies in what suppressed that, so all that go before count alike. Two
+        sweeps for each priority: over ends of higher ones by start, and over its own.
+        """
+        if len(found) < 2:
+            return found
+        start, end, rule = np.array(found, np.int64).T
+        priority = np.array([r.priority for r, _ in self.rules])[rule]
+        keep = np.ones(len(start), bool)
+        starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of higher priorities, by start; ends are the furthest so far
+        for p in np.unique(priority)[::-1]:
+            own = np.flatnonzero(priority == p)
+            own = own[np.lexsort((rule[own], -end[own], start[own]))]
+            furthest = np.maximum.accumulate(end[own])
+            keep[own[1:]] = furthest[:-1] < end[own[1:]]
+            if len(starts):
+                at = np.searchsorted(starts, start[own], "right") - 1
+                keep[own] &= np.where(at >= 0, ends[at], -1) < end[own]
+            starts, ends = np.concatenate([starts, start[own]]), np.concatenate([ends, furthest])
+            order = np.argsort(starts, kind="stable")
+            starts, ends = starts[order], np.maximum.accumulate(ends[order])
+        return sorted((found[k] for k in np.flatnonzero(keep).tolist()))
 
 
 GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -192,8 +181,9 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    Texts are read whole; null and empty ones have no words, no labels and score 0. score is the best granted priority
-    over 100, 0.9 for a base phrase. Null and repeated doc_ids are scanned as any row; other columns are ignored.
+    Texts are read whole, of any length; null and empty ones have no words, no labels and score 0. score is the best granted
+    priority over 100, 0.9 for a base phrase. Null and repeated doc_ids are scanned as any row; other columns are ignored,
+    and an empty table gives no row.
     """
     return docs.select("doc_id", "text").mapInArrow(
         scan_batches, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections long"
