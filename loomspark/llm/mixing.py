@@ -150,7 +150,7 @@ def _draw(docs: DataFrame, share: float, weights, seed: int, block: int, slots:
     want = F.when(F.col("n") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("n")).cast("long"), MOST * F.col("blocks"))).otherwise(0)
     sources = cut(sources.withColumn("want", want.cast("long")), "targets")
     drawn = blocks_of(_drawn(sources, seed, slots), seed)
-    times = drawn.groupBy("i", "block").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("shards"))  # MOST at most
+    times = drawn.groupBy("i", "block").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("shards")).hint("merge")  # MOST at most; a table that grows with the input
 
     # documents' places in their streams
     rows = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -178,7 +178,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, seed: int = SEED,
     """
     placed, parts = _draw(docs, share, weights, seed, block, slots)
     taken = parts.groupBy("i", "at", "to").agg(F.sum(F.col("words") * F.col("times")).alias("got"), F.size(F.array_distinct(F.flatten(F.collect_list("shards")))).alias("in"))
-    got = placed.join(taken.withColumnRenamed("to", "t_to"), ["i", "at"], "left").where("t_to IS NULL OR t_to = to OR size = 0")
+    got = placed.join(taken.withColumnRenamed("to", "t_to").hint("merge"), ["i", "at"], "left").where("t_to IS NULL OR t_to = to OR size = 0")
     whole = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
     return got.select("doc_id", "source", "size", "source_size", "target", whole("got").alias("taken"), whole("in").alias("shards"))
 
