@@ -91,9 +91,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes behind df as Spark's statistics have them, from the files' sizes; nothing is read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes behind docs: as stored, by Spark's statistics of the files, where it has some; else its texts are measured."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 52 else docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 #: Rows of a bucket that gapless() numbers in one task, about.

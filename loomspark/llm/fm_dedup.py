@@ -1,13 +1,17 @@
-"""Substring dedup with FM-indexes of the pieces of each shard.
-
-Shards hold the pieces of text around repeated anchors (see `passages`), each distinct piece once: equal pieces within a run
-of documents are told by a sort of hashes before any index sees them. A shard's pieces are split by their anchor into
-groups of about 5,000. Of each group a throw-away index is made: the pieces, as symbols for words, are concatenated; their
-suffixes are sorted by doubling, and the Burrows-Wheeler transform is kept as a wavelet matrix of packed bits with block
-counts, beside the whole suffix array. The group's own windows, not the documents, are looked up in it by backward search,
-all at once and a symbol a step: a search stops as soon as a single place is left, and no lengths are kept. What the index
-decides is which windows of different pieces are equal: intervals that are still wider than one place at the threshold, a
-whole window, are reported with their earliest place.
+"""Substring dedup with compressed FM-indexes of the pieces of each shard.
+
+Shards hold the pieces of text around repeated anchors (see `passages`), each distinct piece once. A shard's pieces are split
+by their anchor into groups of about 5,000, and each group has an index: the pieces, as symbols for words, are
+concatenated; their suffixes are sorted by doubling, and what stays is the Burrows-Wheeler transform as a wavelet matrix of
+packed bits with block counts, and every SAMPLE-th place of the suffix array. The documents' windows stream
+through the index that has their anchor: backward search extends all of them at once, a symbol a step from their last word, as
+long as more than one place is left. The lengths so reached are the windows' matching statistics: how many words from
+the window's end occur elsewhere. Those at the threshold, a whole window, are reported with their interval, whose places are
+located by steps along the transform to the next sampled one; the earliest decides.
+
+Windows are routed by anchors and not sent to every shard: a window that occurs in two documents has the same anchor in
+both, so no other index could hold it, and a document is read by as many indexes as it has repeated anchors instead of
+by all. Equal pieces within one run of documents are told by a sort before any index sees them.
 """
 
 from __future__ import annotations
@@ -46,15 +50,26 @@ class WaveletMatrix:
             at = np.where(symbol >> shift & 1, zeros + ones, at - ones)
         return at
 
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The symbol at each position."""
+        out = np.zeros(len(at), np.int64)
+        for shift, words, blocks, zeros in self.levels:
+            word, bit = at >> 6, (at & 63).astype(np.uint64)
+            ones = blocks[word] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            one = (words[word] >> bit & np.uint64(1)).astype(bool)
+            out |= one.astype(np.int64) << shift
+            at = np.where(one, zeros + ones, at - ones)
+        return out
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before the position."""
         return self._walk(symbol, at) - self.start[symbol]
 
 
-def sorted_suffixes(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
-    """Positions of text by their next `depth` symbols at least (text counts as followed by zeros)."""
+def sorted_suffixes(text: np.ndarray, symbols: int) -> np.ndarray:
+    """Places of text in the order of the suffixes that start there; the last symbol is the smallest and occurs once."""
     n, bits = len(text), max(1, int(symbols - 1).bit_length())
-    have = max(1, min(62 // bits, depth))
+    have = max(1, min(62 // bits, n))
     key = np.zeros(n, np.int64)
     padded = np.concatenate([text, np.zeros(have, text.dtype)])
     for i in range(have):
@@ -64,7 +79,7 @@ def sorted_suffixes(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
         rank = np.empty(n, np.int64)
         k = key[order]
         rank[order] = np.cumsum(np.concatenate([[1], k[1:] != k[:-1]]))
-        if have >= depth or rank[order[-1]] == n:
+        if rank[order[-1]] == n:
             return order
         after = np.zeros(n, np.int64)
         after[: max(0, n - have)] = rank[have:]
@@ -72,29 +87,62 @@ def sorted_suffixes(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, symbols: int, depth: int):
-        self.places = sorted_suffixes(text, symbols, depth)
-        self.bwt = WaveletMatrix(text[self.places - 1], symbols)
+    """An index of a text that ends in its smallest symbol, which occurs once, by its Burrows-Wheeler transform.
+
+    Of the suffix array only the places that are multiples of SAMPLE stay, found by the rank of packed bits.
+    """
+
+    SAMPLE = 8
+
+    def __init__(self, text: np.ndarray, symbols: int):
+        places = sorted_suffixes(text, symbols)
+        self.n = len(text)
+        self.bwt = WaveletMatrix(text[places - 1], symbols)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+        sampled = places % self.SAMPLE == 0
+        packed = np.packbits(sampled, bitorder="little")
+        self.words = np.frombuffer(packed.tobytes() + bytes(16 - len(packed) % 8), np.uint64)
+        self.blocks = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1].astype(np.int32)
+        self.places = places[sampled].astype(np.int32 if len(text) < 1 << 31 else np.int64)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places in the text of rows of the suffix array."""
+        out, steps = np.empty(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        left, now = np.arange(len(rows)), rows.astype(np.int64)
+        while len(left):
+            word, bit = now >> 6, (now & 63).astype(np.uint64)
+            hit = (self.words[word] >> bit & np.uint64(1)).astype(bool)
+            nth = self.blocks[word[hit]] + np.bitwise_count(self.words[word[hit]] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            out[left[hit]] = self.places[nth] + steps[left[hit]]
+            left, now = left[~hit], now[~hit]
+            if len(left):
+                symbol = self.bwt.access(now)
+                now = self.before[symbol] + self.bwt.rank(symbol, now)
+                steps[left] += 1
+        return out
 
     def search(self, patterns, count: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Queries that occur more than once at their full length, with their intervals.
+        """Matching statistics of the queries, capped at `length`, and the interval of each at the length it reached.
 
-        patterns(queries, i) gives the i-th symbol of each query, from 0.
+        patterns(queries, i) gives the i-th symbol of each query, from 0; a query's statistic is the length of its
+        longest end that occurs more than once.
         """
+        reached = np.zeros(count, np.int64)
+        low, high = np.zeros(count, np.int64), np.full(count, self.n, np.int64)
         q = np.arange(count)
-        c = patterns(q, length - 1)
-        low, high = self.before[c], self.before[c + 1]
-        for i in range(length - 2, -1, -1):
-            more = high - low > 1
-            q, low, high = q[more], low[more], high[more]
+        for i in range(length - 1, -1, -1):
+            c = patterns(q, i)
+            if i == length - 1:
+                a, b = self.before[c], self.before[c + 1]
+            else:
+                both = self.bwt.rank(np.concatenate([c, c]), np.concatenate([low[q], high[q]]))
+                a, b = self.before[c] + both[: len(c)], self.before[c] + both[len(c) :]
+            more = b - a > 1
+            q = q[more]
             if not len(q):
                 break
-            c = patterns(q, i)
-            both = self.bwt.rank(np.concatenate([c, c]), np.concatenate([low, high]))
-            low, high = self.before[c] + both[: len(c)], self.before[c] + both[len(c) :]
-        more = high - low > 1
-        return q[more], low[more], high[more]
+            low[q], high[q], reached[q] = a[more], b[more], length - i
+        return reached, low, high
 
 
 class WordsChunk(Chunk):
@@ -139,22 +187,24 @@ class Words(Kind):
 
     def earliest(self, rows: np.ndarray, la: np.ndarray, ra: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Earliest place of each piece's windows, by offset, among all of the index."""
-        width, none = self.left + self.window, np.iinfo(np.int64).max
+        width = self.left + self.window
         names, symbols = np.unique(np.append(rows.ravel(), 0), return_inverse=True)  # 0 stands outside of pieces
-        rows = symbols[:-1].reshape(rows.shape).astype(np.int32)
-        text = np.zeros((len(rows), width + 1), np.int32)
+        rows = symbols[:-1].reshape(rows.shape).astype(np.int32) + 1
+        text = np.ones((len(rows), width + 1), np.int32)
         text[:, :width] = rows
-        index = FMIndex(text.ravel(), len(names), self.window)
-        # places of the text in the documents; what an interval holds starts within a document
-        key = np.append(((first - self.left)[:, None] + np.arange(width + 1)).ravel()[index.places], none)
+        index = FMIndex(np.append(text.ravel(), np.int32(0)), len(names) + 1)
         offsets = np.arange(self.left + 1)
         row, offset = np.nonzero((la[:, None] >= offsets) & (ra[:, None] >= self.window - offsets))
-        q, low, high = index.search(lambda q, i: rows[row[q], self.left - offset[q] + i], len(row), self.window)
+        reached, low, high = index.search(lambda q, i: rows[row[q], self.left - offset[q] + i], len(row), self.window)
         out = first[:, None] - offsets  # of a window that is in no other piece
+        q = np.flatnonzero(reached == self.window)
         if len(q):
-            lows, which, inverse = np.unique(low, return_index=True, return_inverse=True)
-            ends = np.stack([lows, high[which]], 1).ravel()
-            out[row[q], offset[q]] = np.minimum.reduceat(key, ends)[::2][inverse]
+            lows, which, inverse = np.unique(low[q], return_index=True, return_inverse=True)
+            wide = high[q][which] - lows
+            ends = np.cumsum(wide)
+            piece, at = np.divmod(index.locate(np.repeat(lows - ends + wide, wide) + np.arange(ends[-1])), width + 1)
+            # places in the documents; what an interval holds starts within a document
+            out[row[q], offset[q]] = np.minimum.reduceat(first[piece] - self.left + at, ends - wide)[inverse]
         return out
 
     @staticmethod
@@ -213,10 +263,10 @@ def cut_out(with_text: bool):
             rows = []
             for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 words, s = (text.as_py() or "").encode().split(), spans_of(spans.as_py())
-                n, gone = len(words), 0
-                for start, end in s[::-1].tolist():
-                    del words[start:end]
-                    gone += end - start
+                n, gone = len(words), int((s[:, 1] - s[:, 0]).sum())
+                if len(s):
+                    between = zip([0, *s[:, 1].tolist()], [*s[:, 0].tolist(), n], strict=True)
+                    words = [w for a, b in between for w in words[a:b]]
                 kept = b" ".join(words)
                 rows.append((doc, n, gone, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
             if rows:
@@ -232,8 +282,9 @@ def window_dedup(docs: DataFrame, window: int = 20, with_text: bool = False) ->
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; null text has none. Each word covered by a window of `window` words whose
     sequence also starts earlier (in a smaller doc_id, or in the same document before) is removed; windows are
-    judged on the input. Words are told apart by 64-bit hashes. A row without doc_id is kept whole and removes nothing;
-    rows that repeat a doc_id are one document.
+    judged on the input. Words are told apart by 64-bit hashes of all their bytes. A row without doc_id is kept whole and
+    removes nothing; rows that repeat a doc_id are one document. A task holds one shard's pieces, or the longest text. Other
+    columns are ignored; an empty table gives no row.
     """
     spans = removed_spans(docs, Words(window))
     rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")

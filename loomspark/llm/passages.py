@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, partitions, text_chunks
+from .common import cut, drop, input_bytes, partitions, text_chunks
 
 #: Anchors of a run in step 1; pieces and bytes of text of a run in step 2, which ends with the document that exceeds them.
 ANCHORS, PIECES, RUN_BYTES = 400_000, 150_000, 24 << 20
+#: Bytes of input (as stored) for each shard: what a shard combines stays the same as the input grows.
+SHARD_BYTES = 4 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -404,9 +406,9 @@ def removed_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """(doc_id, spans) of the documents that lose something; spans are pairs of int64, in order, not touching.
 
     Rows without doc_id take no part. Rows that repeat a doc_id are one document, whose spans are those of all of them.
+    There are at least as many shards as the session's shuffle partitions, and one for each SHARD_BYTES of input.
     """
-    spark = docs.sparkSession
-    shards = partitions(spark)
+    shards = max(partitions(docs.sparkSession), -(-input_bytes(docs) // SHARD_BYTES))
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     runs = cut(_runs(docs, kind, shards), "runs", release=True)
     pieces = runs.where("shard >= 0").select("shard", "run", "pieces").repartition(shards, "shard").sortWithinPartitions("shard")

@@ -197,14 +197,17 @@ def test_loser_tree(runs):
 @given(st.lists(st.integers(1, 4), min_size=8, max_size=120))
 def test_fm_index(text):
     t = np.array([*text, 0], np.int32)
-    index = fm_dedup.FMIndex(t, 5, 3)
+    index = fm_dedup.FMIndex(t, 5)
     q = [(a, b, c) for a in range(1, 5) for b in range(1, 5) for c in range(1, 5)]
     table = np.array(q)
-    found, low, high = index.search(lambda k, i: table[k, i], len(q), 3)
-    want = {k: [p for p in range(len(text) - 2) if tuple(text[p : p + 3]) == k] for k in q}
-    assert {q[k] for k in found} == {k for k, v in want.items() if len(v) > 1}
-    for k, a, b in zip(found, low, high, strict=True):
-        assert sorted(index.places[a:b].tolist()) == want[q[k]]
+    reached, low, high = index.search(lambda k, i: table[k, i], len(q), 3)
+    for k, pattern in enumerate(q):
+        places = {n: [p for p in range(len(text) - n + 1) if tuple(text[p : p + n]) == pattern[3 - n :]] for n in (1, 2, 3)}
+        n = max((n for n, at in places.items() if len(at) > 1), default=0)
+        assert reached[k] == n  # the matching statistic
+        if n:
+            assert sorted(index.locate(np.arange(low[k], high[k])).tolist()) == places[n]
+    assert sorted(index.locate(np.arange(len(t))).tolist()) == list(range(len(t)))
 
 
 @settings(max_examples=60, deadline=None)
