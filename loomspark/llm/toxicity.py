@@ -7,7 +7,8 @@ other way (the non-negative correction). Features are words and beginnings of wo
 often than unlabelled text, beyond chance, are selected. Scoring is a lookup of hashes over whole texts.
 
 Training looks at no more than POSITIVES confirmed and UNLABELLED other texts, taken by the smallest hashes of their ids;
-these bounds are parameters, and all else runs over every row.
+these bounds are parameters. How often unlabelled text holds a feature is counted over all rows outside the held-out fold, and
+all else runs over every row.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ POSITIVES, UNLABELLED = 4000, 20_000
 FOLDS, HELD_OUT = 5, 0
 #: Features kept; lengths in bytes of beginnings of words. A feature's number is 32 bits of its hash.
 KEPT, BEGINNINGS = 4096, (4, 5, 6)
+#: Positives that hold a feature, and how far beyond chance (in standard deviations) they hold it more often.
+LEAST, LIFT = 5, 4
+NEAR_BEST = 0.95
 STEPS, RATE, DECAY, BETA, GAMMA = 400, 0.05, 1e-4, 0.0, 1.0
 
 
@@ -52,31 +56,45 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["positive", "features"])
 
 
-def select(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_p: int, n_u: int) -> np.ndarray:
-    """Features that positives hold more often than unlabelled texts, beyond chance; sorted. texts as in train()."""
-    found, in_p = np.unique(np.concatenate([n[p[d]] for n, d, p in texts]), return_counts=True)
-    found, in_p = found[in_p >= 5], in_p[in_p >= 5]
-    in_u = np.zeros(len(found), np.int64)
-    for n, d, p in texts if len(found) else ():
-        n = n[~p[d]]
-        at = np.minimum(np.searchsorted(found, n), len(found) - 1)
-        in_u += np.bincount(at[found[at] == n], minlength=len(found))
-    share = (in_p + in_u) / (n_p + n_u)
-    lift = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_p + 1 / n_u))
-    best = np.flatnonzero(lift > 4)
+def counted(candidates: np.ndarray):
+    """(feature, texts that hold it) of a task's rows, and their number as feature -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(1 << 16, bool)
+        some[candidates >> np.uint32(16)] = True
+        n, rows_seen = np.zeros(len(candidates), np.int64), 0
+        for _, offsets, data in text_chunks(batches, column="text"):
+            doc, number = features(offsets, data)
+            hit = some[number >> np.uint32(16)]
+            doc, number = doc[hit], number[hit]
+            at = np.minimum(np.searchsorted(candidates, number), max(0, len(candidates) - 1))
+            hit = candidates[at] == number if len(candidates) else np.zeros(0, bool)
+            key = np.unique(doc[hit] * max(1, len(candidates)) + at[hit])
+            n += np.bincount(key % max(1, len(candidates)), minlength=len(candidates))
+            rows_seen += len(offsets) - 1
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int64()), pa.array([rows_seen, *n[held].tolist()], pa.int64())], names=["at", "n"])
+
+    return run
+
+
+def select(found: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Features (sorted) that positives hold more often than unlabelled texts, beyond chance; sorted."""
+    share = (in_p + in_u) / max(1, n_p + n_u)
+    lift = (in_p / max(1, n_p) - in_u / max(1, n_u)) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / max(1, n_p) + 1 / max(1, n_u)))
+    best = np.flatnonzero(lift > LIFT)
     return np.sort(found[best[np.argsort(-lift[best], kind="stable")[:KEPT]]])
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature numbers (sorted), weights and bias, by non-negative PU learning with the sigmoid loss.
+def train(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], prior: float, kept: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the features kept (sorted) and bias, by non-negative PU learning with the sigmoid loss.
 
     texts: parts with the features of their texts, the text each belongs to, and which texts are positive.
     """
     positive = np.concatenate([np.zeros(0, bool), *(p for _, _, p in texts)])
     n_p, n_u = int(positive.sum()), int((~positive).sum())
-    kept = select(texts, n_p, n_u) if n_p and n_u else np.zeros(0, np.uint32)
-    if not len(kept):
-        return kept, np.zeros(0), float(np.log(prior / (1 - prior)))
+    if not len(kept) or not n_p or not n_u:
+        return np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
     columns, rows, first = [], [], 0
     for n, d, p in texts:
         at = np.minimum(np.searchsorted(kept, n), len(kept) - 1)
@@ -99,18 +117,34 @@ def train(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], prior: float)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return kept, w, float(b)
+    return w, float(b) - boundary(np.bincount(row, w[column], len(positive)) + b, positive, prior)
+
+
+def boundary(z: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """Where to part texts by z: as low as both of two tests allow.
+
+    Unlabelled texts above are no more than the share that positives in them account for, so that none is thought to be
+    negative; and the squared share of positives above over the share of unlabelled texts above, which stands in for
+    the F measure, is within NEAR_BEST of its maximum.
+    """
+    at = np.unique(z)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), at, "left") / len(x)
+    p, u = above(z[positive]), above(z[~positive])
+    worth = p**2 / np.maximum(u, 1 / (~positive).sum())
+    good = np.flatnonzero((u <= prior * p) & (worth >= NEAR_BEST * worth.max()))
+    k = int(good[0]) if len(good) else int(np.argmax(worth))
+    return float((at[k] + at[k - 1]) / 2) if k else float(at[0]) - 1.0
 
 
-def train_rows(prior: float):
+def train_rows(prior: float, kept: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for b in batches:
             n = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
             positive = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
             texts.append((b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.repeat(np.arange(len(n), dtype=np.int32), n), positive))
-        kept, w, bias = train(texts, prior)
-        yield pa.RecordBatch.from_arrays([pa.array([kept.tolist()], pa.list_(pa.int64())), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["kept", "weights", "bias"])
+        w, bias = train(texts, prior, kept)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["weights", "bias"])
 
     return run
 
@@ -129,9 +163,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     u = docs.select("doc_id").where(fold() != HELD_OUT).orderBy(by, "doc_id").limit(unlabelled).distinct().withColumn("positive", F.lit(False))
     chosen = F.broadcast(p.unionByName(u))  # at most positives + unlabelled ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("positive", "text").mapInArrow(feature_rows, "positive boolean, features array<int>")
-    rows = cut(rows, "features").coalesce(1)  # the bounded sample
-    model = rows.mapInArrow(train_rows(prior), "kept array<long>, weights array<double>, bias double").first()
-    return np.array(model["kept"], np.uint32), np.array(model["weights"], np.float64), model["bias"]
+    rows = cut(rows, "features")
+    # candidates: as many as the bounded sample of positives has
+    held = rows.where("positive").select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).collect()
+    found, in_p = np.array([r["f"] for r in held], np.int64).astype(np.uint32), np.array([r["n"] for r in held], np.int64)
+    order = np.argsort(found)
+    found, in_p = found[order], in_p[order]
+    background = docs.where(fold() != HELD_OUT).select("text").mapInArrow(counted(found), "at long, n long")
+    in_u, n_u = np.zeros(len(found), np.int64), 0
+    for at, n in background.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        if at < 0:
+            n_u = n
+        else:
+            in_u[at] = n
+    kept = select(found, in_p, in_u, rows.where("positive").count(), n_u)
+    model = rows.coalesce(1).mapInArrow(train_rows(prior, kept), "weights array<double>, bias double").first()
+    return kept, np.array(model["weights"], np.float64), model["bias"]
 
 
 def score_batches(kept: np.ndarray, weights: np.ndarray, bias: float, names: list[str], name: str):
@@ -161,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 
     Null counts as empty; an empty text scores what no feature at all means. Labels of the held-out fold, and doc_id,
     lang and source, never enter a score. Repeated and null doc_ids are scored as any row. Without labels, every text
-    scores the prior 0.05.
+    scores the prior 0.05. Texts are read whole, of any length; an empty table gives no row.
     """
     from pyspark.sql import types as T
 
