@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import cut, drop, input_bytes, partitions, text_chunks
 
 #: Anchors of a run in step 1; pieces and bytes of text of a run in step 2, which ends with the document that exceeds them.
-ANCHORS, PIECES, RUN_BYTES = 400_000, 150_000, 24 << 20
+ANCHORS, PIECES, RUN_BYTES = 300_000, 100_000, 16 << 20
 #: Bytes of input (as stored) for each shard: what a shard combines stays the same as the input grows.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
