@@ -3,8 +3,8 @@
 Shards start equal in rows. A round counts each link's documents by shard (combined before the shuffle), lets every linked
 document ask for the shard where most of its neighbours are, and grants requests by the number of neighbours there
 until a shard's quota is full; whoever is over the quota goes, link by link, to the shards that have room. Every round
-ends with counts that differ by one at most, so cut links fall while sizes stay even. Text never moves: only ids, sizes
-and digests of the link do.
+ends with counts that differ by one at most, so cut links fall while sizes stay even. Rounds end when the links cut fall by
+less than STILL of what they were, or at `rounds`. Text never moves: only ids, sizes and digests of the link do.
 """
 
 from __future__ import annotations
@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 from .common import cut, documents, drop, gapless, whole_text
 
 
+#: A round that cuts no fewer links than this share of the last one's less is the last.
+STILL = 0.02
+
+
+def counted(state: DataFrame) -> DataFrame:
+    """(link, shard, n): linked documents of each shard, links of two or more documents only where others are joined on."""
+    return state.where("link IS NOT NULL").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+def wishes(state: DataFrame) -> DataFrame:
+    """(link, want, near, cut): the shard that holds most of a link, how many of it, and the pairs of the link that shards part."""
+    of = counted(state).groupBy("link").agg(F.sum("n").alias("m"), F.sum(F.col("n").cast("double") * F.col("n")).alias("within"), F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"))
+    return of.where("m > 1").select("link", (-F.col("b.s")).alias("want"), F.col("b.n").alias("near"), ((F.col("m").cast("double") * F.col("m") - F.col("within")) / 2).alias("cut"))
+
+
 def propagate(nodes: DataFrame, n_shards: int, rounds: int = 4) -> DataFrame:
     """nodes (doc_id, link, and others) with an int column shard: 0 to n_shards - 1, counts at most one apart.
 
@@ -26,12 +41,16 @@ def propagate(nodes: DataFrame, n_shards: int, rounds: int = 4) -> DataFrame:
     total = state.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     of = F.array(*(F.lit(q) for q in quota))
+    parted = None
     for _ in range(rounds):
         old = state
-        here = state.where("link IS NOT NULL").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = here.groupBy("link").agg(F.sum("n").alias("members"), F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).where("members > 1")
-        best = cut(best.select("link", (-F.col("b.s")).alias("want"), F.col("b.n").alias("near")), "best")  # a table of its own, so that the join can split a hot link
-        asked = state.join(best, "link", "left").withColumn("want", F.coalesce("want", "shard")).withColumn("near", F.coalesce("near", F.lit(0)))
+        best = cut(wishes(state), "best")  # a table of its own, so that the join can split a hot link
+        now = best.agg(F.coalesce(F.sum("cut"), F.lit(0.0))).first()[0]
+        if not now or parted is not None and now > parted * (1 - STILL):
+            drop(best)
+            break
+        parted = now
+        asked = state.join(best.drop("cut"), "link", "left").withColumn("want", F.coalesce("want", "shard")).withColumn("near", F.coalesce("near", F.lit(0)))
         asked = cut(asked.select(*nodes.columns, "shard", "want", "near"), "asked")
         # by neighbours there (in powers of two), those already there first
         rank = F.lit(129) - F.when(F.col("near") > 0, 2 * F.floor(F.log2("near")) + 2 + (F.col("want") == F.col("shard")).cast("int")).otherwise(0)
@@ -53,9 +72,12 @@ def propagate(nodes: DataFrame, n_shards: int, rounds: int = 4) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 4) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs; equal texts are linked.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, beside, apart of every row of docs; equal texts are linked.
 
-    A null text has size 8, crc32 0 and no link. Law `rows`: counts of shards are at most one apart.
+    A null text has size 8, crc32 0 and no link. Law `rows`: counts of shards are at most one apart. beside and apart: linked
+    documents in the same shard and in others, so that half the sum of apart is the number of links cut. Null and repeated
+    doc_ids are placed as any row, texts of any length stay where they are, other columns are ignored, and an empty table
+    gives no row.
     """
     nodes = docs.select(
         "doc_id",
@@ -64,8 +86,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 4) -> Dat
         F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("link"),
     )
     placed = propagate(cut(nodes, "nodes"), n_shards, rounds)
-    out = gapless(placed, "slot", ["shard"], [F.col("doc_id"), F.col("link")])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    here = counted(placed)
+    of = here.groupBy("link").agg(F.sum("n").alias("m"), F.collect_list(F.struct("shard", "n")).alias("by")).where("m > 1")  # an entry a shard
+    of = cut(of.select("link", F.explode("by").alias("e"), "m").select("link", "e.shard", (F.col("e.n") - 1).alias("beside"), (F.col("m") - F.col("e.n")).alias("apart")), "linked")
+    out = gapless(placed, "slot", ["shard"], [F.col("doc_id"), F.col("link")]).join(of, ["link", "shard"], "left")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("beside", none).alias("beside"), F.coalesce("apart", none).alias("apart"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
