@@ -1,16 +1,18 @@
 """Media columns: payloads in archives, written and read by ranges of bytes.
 
 A payload is stored losslessly as an 8-bit greyscale PNG, 64 samples a row. Writers put the pictures into ZIP archives of
-about ARCHIVE bytes in one folder. The data source `loom_archive` lists that folder, plans partitions over byte ranges
-of the archives, and its readers take the members that start in their range: they stream payload batches through Arrow
-and fetch each member by its offset, again and by itself when a read or its checksum fails. All access goes through
-pyarrow's file systems, so the folder may be in any store that these open.
+about ARCHIVE bytes in one folder, under names that no other attempt uses, and a manifest of the attempts that Spark took
+names those that count. The data source `loom_archive` reads the manifest (or lists a folder that has none), plans partitions
+over byte ranges of the archives, and its readers take the members that start in their range: they stream payload batches
+through Arrow and fetch each member by its offset, again and by itself when a read or its checksum fails. All access goes
+through pyarrow's file systems, so the folder may be in any store that these open.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import warnings
 import zipfile
 import zlib
@@ -18,15 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import documents, new_path
+from .common import documents, new_path, until_exit
 
 WIDTH = 64
 ARCHIVE, RANGE, BATCH, TRIES = 32 << 20, 16 << 20, 4 << 20, 3
+#: Partitions that a scan plans, about.
+RANGES = 100_000
+MANIFEST = "_manifest"
 MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -74,41 +80,61 @@ def features(samples: bytes) -> str:
 
 
 def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE) -> int:
-    """Stores every row's text; returns the number of members. A task that runs again replaces its own archives."""
+    """Stores every row's text; returns the number of members.
+
+    A task that runs again writes archives of its own, whatever order its rows come in; only those of the attempt whose
+    rows Spark took are in the manifest, and the rest are never read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         here = TaskContext.get()
-        part, nth, total, out = here.partitionId(), 0, 0, None
+        out, done = None, []
 
         def close() -> None:
             out[1].close()
+            size = out[0].tell()
             out[0].close()
-            store.move(out[2], f"{root}/part-{part:07d}-{nth:05d}.zip")
+            done.append((out[2], size, out[4]))
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if out is None:
-                    path = f"{root}/_part-{part:07d}-{nth:05d}-{here.taskAttemptId()}"
-                    stream = store.open_output_stream(path)
-                    out = [stream, zipfile.ZipFile(stream, "w"), path, 0]
+                    name = f"part-{here.partitionId():07d}-{len(done):05d}-{here.taskAttemptId()}-{uuid.uuid4().hex[:8]}.zip"
+                    stream = store.open_output_stream(f"{root}/{name}")
+                    out = [stream, zipfile.ZipFile(stream, "w"), name, 0, 0]
                 picture = encode_png((text.as_py() or "").encode())
                 with warnings.catch_warnings():
                     warnings.simplefilter("ignore")  # rows that repeat an id
                     out[1].writestr(zipfile.ZipInfo("null" if doc is None else str(doc)), picture)
                 out[3] += len(picture)
-                total += 1
+                out[4] += 1
                 if out[3] >= archive_bytes:
                     close()
-                    out, nth = None, nth + 1
+                    out = None
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["n"])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "bytes", "members"])
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return sum(r["n"] for r in docs.select("doc_id", "text").mapInArrow(run, "n long").groupBy().sum("n").withColumnRenamed("sum(n)", "n").na.fill(0).collect())
+    docs.select("doc_id", "text").mapInArrow(run, "archive string, bytes long, members long").write.parquet(f"{folder}/{MANIFEST}")
+    until_exit(docs.sparkSession, folder)
+    return sum(n for _, _, n in manifest(folder))
+
+
+def manifest(folder: str) -> list[tuple[str, int, int]]:
+    """(archive, bytes, members) of a folder's archives, by name; members are -1 where only a listing tells of them."""
+    store, root = fs.FileSystem.from_uri(folder)
+    listed = store.get_file_info(fs.FileSelector(f"{root}/{MANIFEST}", allow_not_found=True))
+    parts = [x.path for x in listed if x.path.endswith(".parquet")]
+    if parts:
+        tables = [pq.read_table(store.open_input_file(p)) for p in parts]
+        return sorted(row for t in tables for row in zip(*(t.column(c).to_pylist() for c in ("archive", "bytes", "members")), strict=True))
+    found = store.get_file_info(fs.FileSelector(root))
+    return sorted((x.base_name, x.size, -1) for x in found if x.path.endswith(".zip"))
 
 
 class Range(InputPartition):
@@ -136,9 +162,11 @@ class ArchiveReader(DataSourceReader):
         self.range, self.batch, self.tries = (int(options.get(k, d)) for k, d in (("rangebytes", RANGE), ("batchbytes", BATCH), ("tries", TRIES)))
 
     def partitions(self) -> list[Range]:
-        store, root = fs.FileSystem.from_uri(self.folder)
-        files = sorted((x.path, x.size) for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".zip"))
-        return [Range(p, at, min(at + self.range, n)) for p, n in files for at in range(0, n, self.range)] or [Range("", 0, 0)]
+        """Byte ranges of all archives, longer ones where there would be more than RANGES of them."""
+        _, root = fs.FileSystem.from_uri(self.folder)
+        files = manifest(self.folder)
+        step = max(self.range, -(-sum(n for _, n, _ in files) // RANGES))
+        return [Range(f"{root}/{name}", at, min(at + step, n)) for name, n, _ in files for at in range(0, n, step)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -200,7 +228,11 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if data is None:
                 rows.append((doc, *[None] * 7, error))
                 continue
-            samples, n = decode_png(data)
+            try:
+                samples, n = decode_png(data)
+            except (ValueError, KeyError, zlib.error, struct.error) as e:
+                rows.append((doc, *[None] * 7, f"{type(e).__name__}: {e}"))
+                continue
             rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), features(samples), None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -215,8 +247,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Stores every text and describes what is read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature, error.
 
-    Null counts as empty, which is 64 zeros. A member that can't be read after all tries has its error and nulls
-    otherwise, and the rest of its archive is read. Null and repeated doc_ids are members like others.
+    Null counts as empty, which is 64 zeros. A member that can't be read after all tries, or isn't a picture, has its error
+    and nulls otherwise, and the rest of its archive is read. Null and repeated doc_ids are members like others; a task
+    holds a batch of payloads or the longest text. Other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "archives")

@@ -44,6 +44,17 @@ def test_sharding(docs, rows, empty):
         by_text[r.text_crc32, r.size].add(r["shard"])
     sizes = Counter((r.text_crc32, r.size) for r in got)
     assert sum(len(by_text[k]) > 1 for k, n in sizes.items() if n > 1) <= sum(n > 1 for n in sizes.values()) // 4
+    # links cut, by brute force; a random placement cuts four in five
+    linked = defaultdict(Counter)
+    for r in got:
+        linked[r.text_crc32, r["size"]][r["shard"]] += 1
+    nulls = {8} if any(t is None for _, t, _ in rows) else set()
+    for r in got:
+        of = linked[r.text_crc32, r["size"]]
+        if r["size"] not in nulls:
+            assert (r.beside, r.apart) == (of[r["shard"]] - 1, sum(of.values()) - of[r["shard"]])
+    pairs = sum(r.beside + r.apart for r in got)
+    assert sum(r.apart for r in got) <= pairs / 3
     assert sharding.shard_documents(empty, 5).count() == 0
     assert {r["shard"] for r in sharding.shard_documents(docs.limit(3), 24).collect()} <= set(range(24))
 
@@ -401,6 +412,16 @@ def test_media(docs, rows, empty, spark, tmp_path):
     found = media.read_archives(spark, folder).collect()
     bad = [r for r in found if r.error]
     assert len(found) == n and len(bad) == 1 and bad[0].tries == media.TRIES and bad[0].payload is None
+    # what another attempt left behind is not read, and a member that is no picture has its error
+    (tmp_path / "a" / "part-0000000-00009-77-left.zip").write_bytes(path.read_bytes())
+    assert media.read_archives(spark, folder).count() == n and sum(m for *_, m in media.manifest(folder)) == n
+    (tmp_path / "b").mkdir()
+    with media.zipfile.ZipFile(tmp_path / "b" / "x.zip", "w") as z:
+        z.writestr("7", b"text")
+        z.writestr("8", media.encode_png(b"picture")[:-20])
+        z.writestr("9", media.encode_png(b"picture"))
+    found = media.read_archives(spark, f"file://{tmp_path}/b").select("member", "payload", "error").mapInArrow(media.described, media.COLUMNS).collect()
+    assert {r.doc_id: (r.n_bytes, r.error is None) for r in found} == {7: (None, False), 8: (None, False), 9: (7, True)}
 
 
 def shared_out(sizes: list[tuple[str | None, int]], share: float) -> dict:
