@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -47,6 +48,21 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/loom-{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders of cut() that are still there.
+_made: list[str] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what cut() writes inside, but for the tables that the caller puts into the list."""
+    before, keep = set(_made), []
+    yield keep
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    for path in [p for p in _made if p not in before and p.rpartition("/")[2] not in kept]:
+        delete(spark, path)
+        _made.remove(path)
+
+
 def _at(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -72,6 +88,7 @@ def cut(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     until_exit(spark, path)
+    _made.append(path)
     del df
     for _ in range(3 if release else 1):
         gc.collect()  # Python's handles of plans go first,

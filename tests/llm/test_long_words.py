@@ -104,7 +104,7 @@ def test_packing(frame, monkeypatch):
         parts[r.doc_id][r.start] = bytes(r.ids)
     assert {d: b"".join(x for _, x in sorted(p.items())) for d, p in parts.items()} == want
     # one hash for all words: the spelling decides
-    monkeypatch.setattr(packing, "word_hashes", lambda data, a, b: np.zeros(len(a), np.uint64))
+    monkeypatch.setattr(packing, "chunk_hashes", lambda x, first, lengths: np.zeros(len(lengths), np.uint64))
     words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     data = [f"word{k} and some more {k}".encode() for k in range(9)]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in data])])
