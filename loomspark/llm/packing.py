@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, documents, text_chunks
-from .texthash import word_bounds, word_chunks, word_hashes
+from .texthash import chunk_hashes, word_bounds, word_chunks
 
 WINDOW, END = 2048, 1
 #: Distinct words that a worker keeps the ids of; more, and it starts anew. Longer words than KEPT_LENGTH bytes aren't kept.
-KEPT_WORDS, KEPT_LENGTH = 1_000_000, 256
+KEPT_WORDS, KEPT_LENGTH = 2_000_000, 256
 #: Pieces handed on at once, of at most a window each.
 ROWS = 2000
 #: What surely parts words for the tokenizer.
@@ -82,8 +82,10 @@ class WordIds:
 
     def _kept(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of self.words for the words, and which of the words they really are."""
-        hashes = word_hashes(data, starts, ends)
-        keys, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not len(starts):
+            return self.words[:0], np.zeros(0, bool)
+        chunks, at = word_chunks(data, starts, ends)
+        keys, example, which = np.unique(chunk_hashes(chunks, at, ends - starts), return_index=True, return_inverse=True)
         if len(self.keys) > self.kept:
             self._reset()
         where = np.searchsorted(self.keys, keys)
@@ -93,13 +95,9 @@ class WordIds:
             self._learn(keys[new], data, starts[example[new]], ends[example[new]])
             where = np.searchsorted(self.keys, keys)
         rows = self.words[self.codes[where][which]]
-        same = rows[:, 3] == ends - starts
-        chunks, at = word_chunks(data, starts, ends)
-        n = np.diff(at)
-        place = np.minimum(np.repeat(rows[:, 2] - at[:-1], n) + np.arange(at[-1]), self.filled - 1)
-        if len(chunks):
-            same &= np.logical_and.reduceat(self.bytes[place] == chunks, at[:-1])
-        return rows, same
+        place = np.repeat(rows[:, 2] - at[:-1], np.diff(at)) + np.arange(at[-1])
+        same = np.logical_and.reduceat(self.bytes[np.minimum(place, self.filled - 1)] == chunks, at[:-1])
+        return rows, same & (rows[:, 3] == ends - starts)
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin and end."""
@@ -199,29 +197,7 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64).reshape(-1, 4) for k, v in out.items()}
 
 
-KEPT = ("doc_id", "start", "length", "ids", "doc_tokens")
-
-
-def place(entries: dict[int, np.ndarray]):
-    """Sequence and offset of pieces by length and rank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("length", "rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-                if not len(rows):
-                    continue
-                n = int(length[rows[0]])
-                e, r = entries[n], rank[rows]
-                e = e[np.searchsorted(e[:, 0], r, "right") - 1]
-                window, nth = np.divmod(r - e[:, 0], e[:, 1])
-                sequence[rows], offset[rows] = e[:, 2] + window, e[:, 3] + nth * n
-            cols = [b.column(b.schema.get_field_index(k)) for k in KEPT]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], names=[*KEPT, "sequence_id", "offset"])
-
-    return run
+PLAN = "length long, entries array<struct<rank: long, count: long, sequence: long, offset: long>>"
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -235,13 +211,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    spark = docs.sparkSession
     t = cut(docs.select("doc_id", "text").mapInArrow(pieces(str(tokenizer), window), PIECES), "pieces")
-    counts = t.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(t.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = t.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
-    return ranked.mapInArrow(place(plan(histogram, window)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    # a table of its own: its size is known, and Spark broadcasts it as long as it is small, so that ids stay where they are
+    first = cut(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "first")
+    entries = [(k, [tuple(map(int, e)) for e in v]) for k, v in plan(histogram, window).items()]
+    found = t.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
+    found = found.join(spark.createDataFrame(entries, PLAN).coalesce(1), "length")  # a row for each length, and a few numbers for each of its windows
+    entry = F.element_at(F.filter("entries", lambda e: e["rank"] <= F.col("rank")), -1)
+    since = F.col("rank") - F.col("e.rank")
+    found = found.withColumn("e", entry).withColumn("sequence_id", F.col("e.sequence") + F.floor(since / F.col("e.count")))
+    found = found.withColumn("offset", F.col("e.offset") + since % F.col("e.count") * F.col("length"))
+    return found.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

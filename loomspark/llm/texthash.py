@@ -68,18 +68,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + block)))
         a, b = starts[at:to], ends[at:to]
-        x, first = word_chunks(data, a, b)
-        x = mixed(x)
-        later = np.ones(len(x), bool)
-        later[first[:-1]] = False
-        later = np.flatnonzero(later)
-        place = (later - first[np.searchsorted(first, later, "right") - 1]).astype(np.uint64)
-        x[later] = mixed(x[later] + place * np.uint64(0x9E3779B97F4A7C15))
-        out[at:to] = mixed(np.add.reduceat(x, first[:-1]) + (b - a).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        out[at:to] = chunk_hashes(*word_chunks(data, a, b), b - a)
         at = to
     return out
 
 
+def chunk_hashes(chunks: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of runs, one or more, from what word_chunks() gives."""
+    x = mixed(chunks)
+    later = np.ones(len(x), bool)
+    later[first[:-1]] = False
+    later = np.flatnonzero(later)
+    place = (later - first[np.searchsorted(first, later, "right") - 1]).astype(np.uint64)
+    x[later] = mixed(x[later] + place * np.uint64(0x9E3779B97F4A7C15))
+    return mixed(np.add.reduceat(x, first[:-1]) + lengths.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of k consecutive words, one for each start; documents' ends are the caller's care."""
     n = len(words) - k + 1
