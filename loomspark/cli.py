@@ -16,7 +16,7 @@ from .observe.history import entry
 from .plans.graph import Graph
 from .plans.runner import Runner, RunRequest
 from .project import Project
-from .sqlfront.dialect import DIALECTS, translate
+from .sqlfront.dialect import DIALECTS, Untranslatable, translate
 from .sqlfront.script import SplitError
 
 VERSION = "0.1.0"
@@ -50,6 +50,11 @@ def init(a: argparse.Namespace) -> int:
 
 
 def compile_(a: argparse.Namespace) -> int:
+    if a.check:
+        found = Runner(a.project).problems(_request(a))
+        for n, lines in found.items():
+            print("\n".join(f"{n}: {x}" for x in lines))
+        return 1 if found else 0
     project = Project.load(a.project, a.profile)
     graph = Graph(project.models)
     if a.dot:
@@ -163,6 +168,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("compile", compile_)
     c.add_argument("--json", action="store_true")
     c.add_argument("--dot", action="store_true")
+    c.add_argument("--check", action="store_true", help="parse every model's SQL")
     for name, do in (("run", run), ("test", test), ("diagnostics", diagnostics)):
         c = command(name, do)
         c.add_argument("--select", action="append")
@@ -204,7 +210,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         return a.do(a)
-    except (ProjectError, BackendError, SplitError, OSError) as e:
+    except (ProjectError, BackendError, SplitError, Untranslatable, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

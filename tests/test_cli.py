@@ -50,7 +50,7 @@ def test_tools(spark, tmp_path):
     main(["init", root, "--with-examples"])
     assert len(tools.list_models(root)) == 2 and "`main`.`stg_users`" in tools.compile_sql(root, "users_by_month")
     assert tools.run_subgraph(root, ["+users_by_month"], spark)["ok"] and tools.explain_model(root, "stg_users")["downstream"] == ["users_by_month"]
-    assert tools.translate_sql("SELECT a::TEXT") == "SELECT a::STRING"
+    assert tools.translate_sql("SELECT a::TEXT") == "SELECT CAST(a AS STRING)"
 
 
 def test_sanitize(tmp_path, capsys):
