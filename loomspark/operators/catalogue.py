@@ -415,14 +415,14 @@ INSERT INTO totals VALUES ('NOWHERE', 0, 0)""",
 
 @frame(
     "merged",
-    "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT -s_suppkey, s_acctbal FROM supplier",
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT -1 - s_suppkey, s_acctbal FROM supplier",
 )
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     backend = Backend(spark, _schema("merge"))
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     backend.write_table("target", c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")))
     changes = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") + 1).alias("balance"))
-    backend.write_table("changes", changes.unionByName(s.select((-F.col("s_suppkey")).alias("id"), F.col("s_acctbal").alias("balance"))))
+    backend.write_table("changes", changes.unionByName(s.select((-1 - F.col("s_suppkey")).alias("id"), F.col("s_acctbal").alias("balance"))))
     backend.execute("MERGE INTO target t USING changes c ON t.id = c.id WHEN MATCHED THEN UPDATE SET balance = c.balance WHEN NOT MATCHED THEN INSERT (id, balance) VALUES (c.id, c.balance)")
     return backend.table("target")
 

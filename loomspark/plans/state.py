@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import inspect
 
+from pyspark.sql import functions as F
+
 from ..model import Model
 from ..operators.materialize import Backend, upsert
 
@@ -29,7 +31,7 @@ class StateStore:
 
     def get(self, name: str) -> dict | None:
         self.ensure()
-        rows = self.backend.table(TABLE).where(f"model_name = '{name}'").collect()
+        rows = self.backend.table(TABLE).where(F.col("model_name") == name).collect()
         return rows[0].asDict() if rows else None
 
     def put(self, name: str, last_run_at: float, watermark: str | None = None, row_count: int | None = None, mark: str | None = None) -> None:

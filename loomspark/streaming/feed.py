@@ -17,12 +17,22 @@ def latest(batch: DataFrame, key: list[str], order: str) -> DataFrame:
     return batch.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
+def not_older(batch: DataFrame, stored: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Rows of the batch that the stored row of their key, if any, isn't newer than."""
+    known = stored.select(*key, F.col(order).alias("__stored"))
+    return batch.join(known, key, "left").where(F.col("__stored").isNull() | (F.col(order) >= F.col("__stored"))).drop("__stored")
+
+
 def upsert_stream(stream: DataFrame, backend: Backend, table: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps `table` up to date with a stream; a batch that is repeated after a failure changes nothing."""
+    """Keeps of each key the row that is last by `order`, however late others come; a batch that is repeated changes nothing."""
 
     def put(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            backend.write_incremental(table, latest(batch, key, order), key)
+        if batch.isEmpty():
+            return
+        rows = latest(batch, key, order)
+        if backend.exists(table):
+            rows = not_older(rows, backend.table(table), key, order)
+        backend.write_incremental(table, rows.select(*batch.columns), key)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
