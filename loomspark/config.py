@@ -82,6 +82,8 @@ class ProjectConfig:
     #: defaults by folder below the models directory
     model_defaults: dict[str, dict[str, Any]] = field(default_factory=dict)
     history: str = ".loom/runs.jsonl"
+    #: where a run's lineage events go, a JSON object a line; without it they are logged
+    lineage: str | None = None
 
     @classmethod
     def from_file(cls, path: Path, profile: str | None = None, environ: Mapping[str, str] | None = None) -> ProjectConfig:
@@ -98,7 +100,7 @@ class ProjectConfig:
         if "name" not in raw:
             raise ProjectError(f"{path}: name is missing")
         connections = {k: Connection(k, v.get("type", "spark"), {a: b for a, b in v.items() if a != "type"}) for k, v in (raw.get("connections") or {}).items()}
-        simple = {k: raw[k] for k in ("version", "default_schema", "default_materialization", "dialect", "models_dir", "seeds_dir", "macros_dir", "tests_dir", "history") if k in raw}
+        simple = {k: raw[k] for k in ("version", "default_schema", "default_materialization", "dialect", "models_dir", "seeds_dir", "macros_dir", "tests_dir", "history", "lineage") if k in raw}
         return cls(
             raw["name"],
             root=path.parent,

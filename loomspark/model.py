@@ -10,12 +10,16 @@ from typing import Any
 
 
 class Kind(StrEnum):
+    """Kinds of models, as manifests name them."""
+
     SQL = "sql"
     PYTHON = "python"
     SEED = "seed"
 
 
 class Materialization(StrEnum):
+    """As project files name them."""
+
     TABLE = "table"
     VIEW = "view"
     INCREMENTAL = "incremental"
@@ -52,25 +56,30 @@ class Governance:
 
 @dataclass
 class Model:
+    # what it is called and where it comes from
     name: str
     kind: Kind
     materialization: Materialization = Materialization.TABLE
+    # its body
     sql: str | None = None
     function: Callable[..., Any] | None = None
-    depends_on: list[str] = field(default_factory=list)
     path: Path | None = None
-    description: str = ""
-    columns: list[Column] = field(default_factory=list)
-    tags: list[str] = field(default_factory=list)
+    depends_on: list[str] = field(default_factory=list)
+    # how it is written
     config: dict[str, Any] = field(default_factory=dict)
     unique_key: list[str] = field(default_factory=list)
     partition_by: list[str] = field(default_factory=list)
     #: clusters the rows of a written table; honoured as a sort within files
     cluster_by: list[str] = field(default_factory=list)
-    #: metadata for an outside scheduler
-    schedule_cron: str | None = None
     disabled: bool = False
+    # what is told about it
+    columns: list[Column] = field(default_factory=list)
     governance: Governance = field(default_factory=Governance)
+    tags: list[str] = field(default_factory=list)
+    description: str = ""
+    docs: str = ""
+    #: for an outside scheduler
+    schedule_cron: str | None = None
 
 
 def as_list(value: Any) -> list[Any]:
@@ -89,7 +98,10 @@ def transform(
     schedule_cron: str | None = None,
     **config: Any,
 ) -> Callable[[Callable[..., Any]], Callable[..., Any]]:
-    """Marks a function of a context as a Python model. depends_on says what it reads; an undeclared ref() is an error."""
+    """Marks a function of a context as a Python model. depends_on says what it reads; an undeclared ref() is an error.
+
+    The parameters' names are fixed values: projects are written against them.
+    """
 
     def mark(function: Callable[..., Any]) -> Callable[..., Any]:
         function.__loom__ = Model(

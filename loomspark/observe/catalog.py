@@ -1,4 +1,4 @@
-"""What a project holds, as plain dictionaries: for documents, HTTP and tools."""
+"""What a project holds, as plain dictionaries: for documents, HTTP and tools. Their keys are fixed values, which clients read."""
 
 from __future__ import annotations
 
@@ -79,10 +79,16 @@ def contract(graph: Graph, name: str) -> dict[str, Any]:
 
 
 def docs(project: Project, name: str) -> dict[str, Any]:
-    """A model's description and the markdown file beside it, if there is one."""
+    """A model's description and long text: the file that `docs` in a schema file names, else the markdown beside the model.
+
+    A file outside of the project is not read.
+    """
     m = project.model(name)
-    beside = m.path.with_suffix(".md") if m.path else None
-    return {"model": name, "description": m.description, "markdown": beside.read_text() if beside and beside.is_file() else None}
+    root = project.config.root.resolve()
+    places = [project.config.root / m.docs] if m.docs else []
+    places += [m.path.with_suffix(".md")] if m.path else []
+    found = next((p for p in places if p.is_file() and p.resolve().is_relative_to(root)), None)
+    return {"model": name, "description": m.description, "source": str(found.resolve().relative_to(root)) if found else None, "markdown": found.read_text() if found else None}
 
 
 def seeds(project: Project) -> list[dict[str, Any]]:

@@ -1,4 +1,4 @@
-"""Errors sorted into buckets, by Spark's error class first and by known texts of other engines next."""
+"""Errors sorted into buckets by Spark's error class."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from typing import Any
 
 
 class Bucket(StrEnum):
+    """The buckets' names are part of the run diagnostics."""
+
     CONVERSION = "conversion"
     TYPE_MISMATCH = "type_mismatch"
     FUNCTION_SIGNATURE = "function_signature"
@@ -44,22 +46,11 @@ CLASSES: dict[str, tuple[Bucket, str, str, str | None]] = {
     "PARSE_EMPTY_STATEMENT": (Bucket.PARSER, "syntax_error", "the statement is empty", None),
     "UNSUPPORTED_DATATYPE": (Bucket.PARSER, "unknown_type", "use a type that Spark has", None),
     "DATATYPE_MISSING_SIZE": (Bucket.PARSER, "unknown_type", "use STRING", None),
+    "MERGE_CARDINALITY_VIOLATION": (Bucket.IDEMPOTENCE, "several_matches", "make the source's keys unique before MERGE", r"\] (?P<name>[\w.]+):"),
+    "DUPLICATE_KEY": (Bucket.IDEMPOTENCE, "duplicate_key", "use INSERT OR REPLACE or INSERT OR IGNORE", r"\] (?P<name>[\w.]+):"),
     "DIVIDE_BY_ZERO": (Bucket.OTHER, "divide_by_zero", "guard with NULLIF or try_divide", None),
 }
 
-#: Texts of other engines, in order.
-TEXTS: list[tuple[str, Bucket, str, str]] = [
-    (r"could not convert string '(?P<value>[^']*)' to (?P<target>\w+)", Bucket.CONVERSION, "sentinel_string_to_typed", "use TRY_CAST(NULLIF(column, '{value}') AS {target})"),
-    (r"invalid timestamp field format", Bucket.CONVERSION, "empty_string_vs_timestamp", "compare with IS NULL, or use TRY_CAST"),
-    (r"cannot mix(?: values of type)? (?P<left>\w+) and (?P<right>\w+).*case", Bucket.TYPE_MISMATCH, "case_mixed_types", "cast the branches to one type"),
-    (r"cannot compare values of type (?P<left>\w+) and (?:type )?(?P<right>\w+)", Bucket.TYPE_MISMATCH, "comparison_type_mismatch", "cast one side with TRY_CAST"),
-    (r"no function matches(?: the given name and argument types)? '(?P<fn>\w+)\((?P<args>[^)]*)\)'", Bucket.FUNCTION_SIGNATURE, "function_arg_type_mismatch", "cast the argument of {fn}, for instance with TRY_CAST(... AS DOUBLE)"),
-    (r"table with name (?P<name>\S+) already exists", Bucket.IDEMPOTENCE, "table_already_exists", "use CREATE OR REPLACE"),
-    (r"table with name (?P<name>\S+) does not exist", Bucket.MISSING_OBJECT, "table_not_found", "an earlier failure may have left {name} out, or a seed is missing"),
-    (r"parser ?(?:error|exception)|syntax error", Bucket.PARSER, "syntax_error", "rewrite the construct in Spark SQL"),
-]
-
-
 class _Blank(dict):
     def __missing__(self, key: str) -> str:
         return "..."
@@ -72,10 +63,6 @@ def classify_error(message: str) -> Diagnosis:
         m = re.search(find, message) if find else None
         operands = {k: v.strip("`") for k, v in (m.groupdict() if m else {}).items() if v is not None}
         return Diagnosis(bucket, sub, hint.format_map(_Blank(operands)), message, operands)
-    for pattern, bucket, sub, hint in TEXTS:
-        if m := re.search(pattern, message, re.IGNORECASE | re.DOTALL):
-            operands = {k: v for k, v in m.groupdict().items() if v is not None}
-            return Diagnosis(bucket, sub, hint.format_map(_Blank(operands)), message, operands)
     return Diagnosis(Bucket.OTHER, "unclassified", "read the message", message)
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import logging
+import threading
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 from typing import Any
 
 from ..model import Model
@@ -57,3 +60,20 @@ class Emitter:
             self.sink(e)
         except Exception:
             log.exception("a lineage event was lost")
+
+
+def to_file(path: Path) -> Callable[[dict[str, Any]], None]:
+    """A sink that adds events to a file, one a line."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    lock = threading.Lock()
+
+    def put(e: dict[str, Any]) -> None:
+        with lock, path.open("a") as f:
+            f.write(json.dumps(e, default=str) + "\n")
+
+    return put
+
+
+def emitter(config) -> Emitter:
+    """What a project's runs tell of themselves: to the file that it names, else to the log."""
+    return Emitter(config.name, to_file(config.root / config.lineage) if config.lineage else None)

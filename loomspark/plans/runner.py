@@ -14,10 +14,13 @@ from pyspark.sql import SparkSession
 
 from ..model import Kind, Materialization, Model, ProjectError
 from ..observe.history import append_run
+from ..observe.lineage import emitter
 from ..operators.data_tests import DataTests, TestResult
 from ..operators.materialize import Backend
 from ..project import Project
 from ..sources import seeds as seed_files
+from ..sqlfront.dialect import problems
+from ..sqlfront.refs import render_refs
 from ..sqlfront.script import build_statement_dag, layers
 from .executor import Executor, ModelRun, Options, Status
 from .graph import Graph
@@ -130,6 +133,17 @@ class Runner:
         scripts = {n: script_stats(m, request.parallelism) for n, m in graph.models.items() if m.materialization == Materialization.EXECUTE}
         return Plan(project.config.name, graph.layers(), graph.models, sorted(off), skipped, scripts)
 
+    def problems(self, request: RunRequest) -> dict[str, list[str]]:
+        """What keeps the models' SQL from being read, by model; nothing runs and no table is looked at."""
+        project, graph = self.load(request)
+        spark = self.session(project.config.resolved(project.config.connection(request.connection)))
+        out = {}
+        for n, m in graph.apply(request.select, request.exclude).models.items():
+            found = problems(spark, render_refs(m.sql, lambda r: f"`{r}`"), project.config.dialect) if m.sql else []
+            if found:
+                out[n] = found
+        return out
+
     def run(self, request: RunRequest, tests_only: bool = False) -> RunReport:
         began, started = time.monotonic(), dt.datetime.now(dt.UTC).isoformat()
         project, whole = self.load(request)
@@ -143,7 +157,14 @@ class Runner:
             options = Options(request.threads, request.fail_fast, request.full_refresh, request.parallelism, request.continue_on_error, off)
             types = {**seed_files.schemas(backend.spark, project.seeds, project.config.root / ".loom/seed_schemas.json"), **project.declared_types()}
             self.lend(whole, graph, backend, project)
-            runs = Executor(graph, backend, project.variables, options, rows, types, self.listen).run()
+            tell = emitter(project.config)
+
+            def listen(kind: str, m: Model, result: ModelRun | None) -> None:
+                tell(kind, m, result)
+                if self.listen:
+                    self.listen(kind, m, result)
+
+            runs = Executor(graph, backend, project.variables, options, rows, types, listen).run()
             store = StateStore(backend)
             incremental = [r for r in runs if r.model.materialization == Materialization.INCREMENTAL and r.status == Status.SUCCESS]
             for r in incremental:

@@ -102,6 +102,7 @@ def _schema_files(folder: Path) -> dict[str, dict[str, Any]]:
 
 def _describe(m: Model, spec: dict[str, Any]) -> None:
     m.description = spec.get("description") or m.description
+    m.docs = spec.get("docs") or m.docs
     m.columns = [column_of(c) for c in spec.get("columns") or []] or m.columns
     m.tags = list(dict.fromkeys([*m.tags, *as_list(spec.get("tags"))]))
     m.config = {**m.config, **(spec.get("config") or {})}

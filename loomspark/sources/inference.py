@@ -67,7 +67,7 @@ def native(kind: T.DataType) -> str:
 def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, full_scan_rows: int | None = None, sample_rows: int = SAMPLE_ROWS, sentinels: bool = False) -> Inference:
     """Types of all columns: native ones as they are, text ones by what no value contradicts, overrides before all.
 
-    Every row is looked at, unless full_scan_rows is given: a table of more rows is then sampled to about sample_rows, and
+    Types, failures and, if asked for, placeholder values come from one aggregate. Every row is looked at, unless full_scan_rows is given: a table of more rows is then sampled to about sample_rows, and
     failures are counts of the sample.
     """
     overrides = overrides or {}
@@ -75,35 +75,34 @@ def infer_types(df: DataFrame, overrides: dict[str, str] | None = None, full_sca
     text = text_columns(df)
     probe = [c for c in text if c not in overrides]
     rows, mode, failures = 0, "empty", {}
-    if probe:
-        source, mode = df, "full"
+    looked = list(dict.fromkeys([*probe, *(text if sentinels else [])]))
+    shares: dict[str, SentinelProfile] = {}
+    if looked:
+        source, mode = df, "full" if probe else "empty"
         if full_scan_rows is not None and (rows := df.count()) > full_scan_rows:
             source, mode = df.sample(min(1.0, sample_rows / rows), seed=7), "sampled"
         tests = [F.count(F.lit(1)).alias("rows")]
-        tests += [F.count(_name(c)).alias(f"{i}:n") for i, c in enumerate(probe)]
-        tests += [F.count_if(_name(c).isNotNull() & ~F.coalesce(fits(_name(c), k), F.lit(False))).alias(f"{i}:{k}") for i, c in enumerate(probe) for k in PRECEDENCE]
+        tests += [F.count_if(_name(c).isNotNull() & ~F.coalesce(fits(_name(c), k), F.lit(False))).alias(f"{i}:{k}") for i, c in enumerate(looked) if c in probe for k in PRECEDENCE]
+        tests += _sentinel_counts(looked, SENTINELS if sentinels else ())
         found = source.agg(*tests).first()
-        rows = found["rows"] if mode == "full" else rows
-        for i, c in enumerate(probe):
-            failures[c] = {k: found[f"{i}:{k}"] for k in PRECEDENCE}
-            if found[f"{i}:n"]:
-                types[c] = next((k for k in PRECEDENCE if not failures[c][k]), "VARCHAR")
-            else:
-                types[c] = "VARCHAR"
+        rows = found["rows"] if mode != "sampled" else rows
+        for i, c in enumerate(looked):
+            if c in probe:
+                failures[c] = {k: found[f"{i}:{k}"] for k in PRECEDENCE}
+                types[c] = next((k for k in PRECEDENCE if not failures[c][k]), "VARCHAR") if found[f"{i}:n"] else "VARCHAR"
+        if sentinels:
+            shares = _profiles(looked, found, SENTINELS, SENTINEL_SHARE)
     types |= {c: k for c, k in overrides.items() if c in types}
-    out = Inference(types, mode, rows, failures)
-    if sentinels:
-        out.sentinels = detect_sentinels(df, text)
-    return out
+    return Inference(types, mode, rows if probe else 0, failures, shares)
 
 
-def detect_sentinels(df: DataFrame, columns: list[str], candidates: tuple[str, ...] = SENTINELS, threshold: float = SENTINEL_SHARE) -> dict[str, SentinelProfile]:
-    """Columns in which a placeholder makes up at least the threshold of the non-null rows."""
-    if not columns:
-        return {}
+def _sentinel_counts(columns: list[str], candidates: tuple[str, ...]) -> list[Column]:
     counts = [F.count(_name(c)).alias(f"{i}:n") for i, c in enumerate(columns)]
-    counts += [F.count_if(_name(c) == F.lit(s)).alias(f"{i}:{j}") for i, c in enumerate(columns) for j, s in enumerate(candidates)]
-    found, out = df.agg(*counts).first(), {}
+    return counts + [F.count_if(_name(c) == F.lit(s)).alias(f"{i}:{j}") for i, c in enumerate(columns) for j, s in enumerate(candidates)]
+
+
+def _profiles(columns: list[str], found, candidates: tuple[str, ...], threshold: float) -> dict[str, SentinelProfile]:
+    out = {}
     for i, c in enumerate(columns):
         n = found[f"{i}:n"]
         shares = {s: round(found[f"{i}:{j}"] / n, 4) for j, s in enumerate(candidates) if n and found[f"{i}:{j}"] / n >= threshold}
@@ -112,6 +111,13 @@ def detect_sentinels(df: DataFrame, columns: list[str], candidates: tuple[str, .
     return out
 
 
+def detect_sentinels(df: DataFrame, columns: list[str], candidates: tuple[str, ...] = SENTINELS, threshold: float = SENTINEL_SHARE) -> dict[str, SentinelProfile]:
+    """Columns in which a placeholder makes up at least the threshold of the non-null rows."""
+    if not columns:
+        return {}
+    return _profiles(columns, df.agg(*_sentinel_counts(columns, candidates)).first(), candidates, threshold)
+
+
 def spark_type(kind: str) -> str:
     base = kind.upper().strip()
     return {"VARCHAR": "STRING", "TEXT": "STRING"}.get(base.partition("(")[0], base)

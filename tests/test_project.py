@@ -228,10 +228,10 @@ def test_observation(spark, tmp_path):
 @pytest.mark.parametrize(
     ("text", "bucket"),
     [
-        ("Conversion Error: Could not convert string '' to INT64", Bucket.CONVERSION),
-        ("Binder Error: Cannot compare values of type VARCHAR and BIGINT", Bucket.TYPE_MISMATCH),
-        ("Binder Error: No function matches the given name and argument types 'sum(VARCHAR)'", Bucket.FUNCTION_SIGNATURE),
-        ("Catalog Error: Table with name foo already exists", Bucket.IDEMPOTENCE),
+        ("[CAST_INVALID_INPUT] The value 'x' of the type \"STRING\" cannot be cast to \"INT\" because it is malformed.", Bucket.CONVERSION),
+        ("[DATATYPE_MISMATCH.BINARY_OP_DIFF_TYPES] Cannot resolve (\"INT\" and \"DATE\")", Bucket.TYPE_MISMATCH),
+        ("[UNRESOLVED_ROUTINE] Cannot resolve routine `nope` on search path", Bucket.FUNCTION_SIGNATURE),
+        ("[MERGE_CARDINALITY_VIOLATION] t: several rows of the source match one of the target", Bucket.IDEMPOTENCE),
         ("[TABLE_OR_VIEW_NOT_FOUND] The table or view `foo` cannot be found.", Bucket.MISSING_OBJECT),
         ("[PARSE_SYNTAX_ERROR] Syntax error at or near 'QUALIFY'.", Bucket.PARSER),
         ("something odd", Bucket.OTHER),
