@@ -60,7 +60,7 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
 def of_sql(name: str, sql: str, schema: dict[str, dict[str, str]] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, sql)
-        return spark.sql(translate(sql, "duckdb", schema))
+        return spark.sql(translate(sql, "duckdb", schema, lambda t: dict(spark.table(t).dtypes)))
 
     QUERIES[name] = Query(run, sql)
 
@@ -478,3 +478,6 @@ def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import catalogue_engine, catalogue_semantics  # noqa: E402, F401  their queries are added to the ones above

@@ -270,10 +270,13 @@ class Backend:
             try:
                 on = [old[p].eqNullSafe(touched[p]) for p in parts]
                 upsert(old.join(touched, on, "left_semi"), batch, key).select(*old.columns).write.parquet(location)
-                fresh = self.spark.read.schema(old.schema).parquet(location)
-                gone = touched.join(fresh.select(*parts).distinct().alias("f"), [touched[p].eqNullSafe(F.col(f"f.{quoted(p)}")) for p in parts], "left_anti").collect()
+                own = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+                own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+                fresh = own.read.schema(old.schema).parquet(location)
+                left = self.spark.read.schema(old.schema).parquet(location)
+                gone = touched.join(left.select(*parts).distinct().alias("f"), [touched[p].eqNullSafe(F.col(f"f.{quoted(p)}")) for p in parts], "left_anti").collect()
                 with self._locks[name]:
-                    fresh.write.option("partitionOverwriteMode", "dynamic").insertInto(full, overwrite=True)
+                    fresh.write.insertInto(full, overwrite=True)
                     for row in gone:  # all of whose rows moved
                         spec = ", ".join(f"{quoted(p)} = {_sql(row[p])}" for p in parts)
                         self.spark.sql(f"ALTER TABLE {full} DROP IF EXISTS PARTITION ({spec})")
