@@ -7,6 +7,9 @@ they share with the last string put out: of two entries, the one that shares mor
 the strings, and where both share the same, comparison starts after it. The merge yields the common prefixes of
 neighbours, hence, for each window offset, groups of suffixes that agree to the right; ranks of the left parts split
 these into groups of equal windows, whose smallest document is what decides.
+
+Whole suffixes of documents are never sorted: nothing depends on what lies beyond a window, and a window is found at
+every anchor that it holds, so the sparse sort loses no match and moves 2 in 36 positions instead of all.
 """
 
 from __future__ import annotations
@@ -227,7 +230,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = False)
 
     Each byte covered by a string of `window` bytes that also starts in a document with a smaller doc_id is removed;
     strings are judged on the input, and matches don't cross documents. Null counts as empty. A row without doc_id is
-    kept whole and removes nothing; rows that repeat a doc_id are one document and remove nothing from each other.
+    kept whole and removes nothing; rows that repeat a doc_id are one document and remove nothing from each other. A
+    task holds one shard's pieces, or the longest text. Other columns are ignored; an empty table gives no row.
     """
     spans = removed_spans(docs, Bytes(window))
     rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
