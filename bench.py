@@ -41,16 +41,15 @@ def three_models(spark: SparkSession, home: str) -> dict[str, float]:
             spark.sql(f"DROP TABLE IF EXISTS bench_direct.{name}")
             spark.sql(f"CREATE TABLE bench_direct.{name} USING parquet AS {render_refs(sql, lambda n: 'bench_direct.' + n)}")
 
-    def timed(do) -> float:
-        times = []
-        for _ in range(3):
+    run = lambda at, threads: Runner(at, spark).run(RunRequest(threads=threads, history=False))
+    timed = {"three_models_project": lambda: run(root, 4), "three_models_direct": direct, "eight_models_1_thread": lambda: run(wide, 1), "eight_models_4_threads": lambda: run(wide, 4)}
+    times: dict[str, list[float]] = {name: [] for name in timed}
+    for _ in range(6):  # in turn, so that all are as warm; the first round doesn't count
+        for name, do in timed.items():
             began = time.perf_counter()
             do()
-            times.append(time.perf_counter() - began)
-        return round(statistics.median(times), 4)
-
-    run = lambda at, threads: Runner(at, spark).run(RunRequest(threads=threads, history=False))
-    return {"three_models_project": timed(lambda: run(root, 4)), "three_models_direct": timed(direct), "eight_models_1_thread": timed(lambda: run(wide, 1)), "eight_models_4_threads": timed(lambda: run(wide, 4))}
+            times[name].append(time.perf_counter() - began)
+    return {name: round(statistics.median(t[1:]), 4) for name, t in times.items()}
 
 
 def main() -> None:

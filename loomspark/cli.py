@@ -19,7 +19,7 @@ from .project import Project
 from .sqlfront.dialect import DIALECTS, Untranslatable, translate
 from .sqlfront.script import SplitError
 
-VERSION = "0.1.0"
+VERSION = "0.2.0"
 EXAMPLE = {
     "models/stg_users.sql": "SELECT * FROM (VALUES (1, 'Ada', DATE '2024-01-01'), (2, 'Bo', DATE '2024-02-01')) AS t(id, name, signed_up)\n",
     "models/users_by_month.sql": "SELECT date_trunc('month', signed_up) AS month, count(*) AS users FROM {{ ref('stg_users') }} GROUP BY 1\n",
