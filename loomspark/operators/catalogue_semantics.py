@@ -62,8 +62,8 @@ of_sql(
 )
 of_sql(
     "number_functions",
-    """SELECT s_suppkey, ABS(s_acctbal) AS a, CEIL(s_acctbal) AS c, FLOOR(s_acctbal) AS f, ROUND(SQRT(ABS(s_acctbal)), 6) AS s, MOD(s_suppkey, 5) AS m, LEAST(s_acctbal, 0) AS l, GREATEST(s_suppkey, s_nationkey) AS g,
-    POWER(s_nationkey, 2) AS p, -s_acctbal AS n, SIGN(s_acctbal) AS sg FROM supplier""",
+    """SELECT s_suppkey, ABS(s_acctbal) AS a, CAST(CEIL(s_acctbal) AS BIGINT) AS c, CAST(FLOOR(s_acctbal) AS BIGINT) AS f, ROUND(SQRT(ABS(s_acctbal)), 6) AS s, MOD(s_suppkey, 5) AS m, LEAST(s_acctbal, 0) AS l, GREATEST(s_suppkey, s_nationkey) AS g,
+    POWER(s_nationkey, 2) AS p, -s_acctbal AS n, CAST(SIGN(s_acctbal) AS INTEGER) AS sg FROM supplier""",
 )
 of_sql("scalar_subqueries", "SELECT r_regionkey, (SELECT COUNT(*) FROM nation WHERE n_regionkey = r_regionkey) AS nations, (SELECT MAX(c_acctbal) FROM customer) - r_regionkey AS rest FROM region")
 of_sql("join_using", "SELECT k, COUNT(*) AS n, MIN(o) AS first FROM (SELECT c_custkey AS k, c_nationkey FROM customer) AS c JOIN (SELECT o_custkey AS k, o_orderkey AS o FROM orders) AS x USING (k) GROUP BY k")
