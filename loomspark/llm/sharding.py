@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, documents, drop, gapless, whole_text
 
@@ -20,7 +21,7 @@ STILL = 0.02
 
 
 def counted(state: DataFrame) -> DataFrame:
-    """(link, shard, n): linked documents of each shard, links of two or more documents only where others are joined on."""
+    """(link, shard, n): how many documents of each link are in each shard."""
     return state.where("link IS NOT NULL").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -87,8 +88,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 4) -> Dat
     )
     placed = propagate(cut(nodes, "nodes"), n_shards, rounds)
     here = counted(placed)
-    of = here.groupBy("link").agg(F.sum("n").alias("m"), F.collect_list(F.struct("shard", "n")).alias("by")).where("m > 1")  # an entry a shard
-    of = cut(of.select("link", F.explode("by").alias("e"), "m").select("link", "e.shard", (F.col("e.n") - 1).alias("beside"), (F.col("m") - F.col("e.n")).alias("apart")), "linked")
+    of = here.withColumn("m", F.sum("n").over(Window.partitionBy("link"))).where("m > 1")  # a link has a row for each shard
+    of = cut(of.select("link", "shard", (F.col("n") - 1).alias("beside"), (F.col("m") - F.col("n")).alias("apart")), "linked")
     out = gapless(placed, "slot", ["shard"], [F.col("doc_id"), F.col("link")]).join(of, ["link", "shard"], "left")
     none = F.lit(0).cast("long")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("beside", none).alias("beside"), F.coalesce("apart", none).alias("apart"))
