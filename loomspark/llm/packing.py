@@ -220,7 +220,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     first = cut(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "first")
     entries = [(k, [tuple(map(int, e)) for e in v]) for k, v in plan(histogram, window).items()]
     found = t.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("nth"))
-    found = found.join(spark.createDataFrame(entries, PLAN).coalesce(1), "length")  # a row for each length, and a few numbers for each of its windows
+    # a row for each length below the window, with its share of at most `window` kinds of sequences: bounded, whatever the input
+    found = found.join(F.broadcast(spark.createDataFrame(entries, PLAN)), "length")
     entry = F.element_at(F.filter("entries", lambda e: e["rank"] <= F.col("rank")), -1)
     since = F.col("rank") - F.col("e.rank")
     found = found.withColumn("e", entry).withColumn("sequence_id", F.col("e.sequence") + F.floor(since / F.col("e.count")))
