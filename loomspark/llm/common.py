@@ -132,7 +132,8 @@ def gapless(df: DataFrame, name: str, groups: list[str], order: list[Column], le
     before = Window.partitionBy(*groups).orderBy("_lead", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     at = Window.partitionBy(*(df[k] for k in keys)).orderBy(*order)
-    out = df.withColumn("_at", F.row_number().over(at)).alias("l").join(first.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    # every row has its bucket; a left join, so that only the buckets can be broadcast, never the rows
+    out = df.withColumn("_at", F.row_number().over(at)).alias("l").join(first.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left")
     return out.select(*(F.col(f"l.{c}") for c in df.columns if c not in ("_lead", "_bucket")), (F.col("r._first") + F.col("l._at") - 1).alias(name))
 
 

@@ -197,7 +197,7 @@ def mixed(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, seed: int = SEED
     each = each.withColumn("run", F.col("block") - F.row_number().over(Window.partitionBy("__row", "turn").orderBy("block")))
     each = each.groupBy("__row", "turn", "run").agg(F.min("first").cast("int").alias("first"), F.sum("words").cast("int").alias("words"))
     runs = runs.unionByName(each.groupBy("__row").agg(F.collect_list(F.struct("first", "words")).alias("__runs")))
-    joined = rows.drop("__text").join(runs, "__row")
+    joined = rows.drop("__text").join(runs.hint("merge"), "__row")  # a table that grows with the input
     # an array of one, so that the words of a text are looked for once and not for each run
     words = F.array(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)))
     cuts = F.transform(words, lambda w: F.transform("__runs", lambda r: F.array_join(F.slice(w, r["first"] + 1, r["words"]), "")))[0]
