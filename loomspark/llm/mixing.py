@@ -25,6 +25,8 @@ WEIGHTS = (3, 1, 2)
 MOST = 2  # passes over a source
 #: Cells of the unit interval that slots and sources meet by, at least; more where there are more sources.
 CELLS = 1 << 12
+#: Cells up to which they are broadcast, with a source each or two: some megabytes.
+BROADCAST_CELLS = 1 << 15
 #: Rounds of the network; places outside that a slot steps over before it is left to the next look.
 ROUNDS, STEPS = 4, 64
 #: A word with the gap behind it, the first also with the one before it: all of them make up the text.
@@ -125,6 +127,8 @@ def _drawn(sources: DataFrame, seed: int, slots: int) -> DataFrame:
     parts = parts.withColumn("cell", F.explode(F.sequence(cell("low"), F.least(cell("high"), F.lit(cells - 1)))))
     draws = spark.range(0, shards, 1, max(1, min(partitions(spark), shards))).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("k"))
     draws = draws.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "shard", "k"), F.lit(max(1, total))))
+    # Spark takes exploded rows for few: the side to build is named, and broadcast only where it is known to be small
+    parts = F.broadcast(parts) if cells <= BROADCAST_CELLS else parts.hint("shuffle_hash")
     draws = draws.withColumn("cell", cell("u")).join(parts, "cell").where("low <= u AND u < high")
     draws = cut(draws.select("i", "shard", "k"), "draws")
     slot = gapless(draws, "slot", ["i"], [F.col("shard"), F.col("k")])
