@@ -492,4 +492,4 @@ def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from . import catalogue_engine, catalogue_semantics  # noqa: E402, F401  their queries are added to the ones above
+from . import catalogue_engine, catalogue_semantics, catalogue_surface  # noqa: E402, F401  their queries are added to the ones above

@@ -95,6 +95,8 @@ class Executor:
                         name = running.pop(f)
                         done[name] = f.result()
                         stopped |= self.options.fail_fast and done[name].status == Status.FAILED
+                    for f in [f for f in running if stopped and f.cancel()]:  # not begun yet
+                        waiting.add(running.pop(f))
                 settle()
         return [done[n] for n in self.graph.order()]
 
