@@ -230,7 +230,8 @@ def links(texts: DataFrame, table: DataFrame, same: DataFrame, percent: int, k:
     as_right = star.select("lead", F.explode(F.sequence(F.lit(0), many("rest") - 1)).alias("i"), own("of").alias("j"), "id", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"), F.col("near").alias("with_lead"))
     as_left = star.where("NOT near").select("lead", own("rest").alias("i"), F.explode(F.sequence(F.lit(0), many("of") - 1)).alias("j"), "id", F.lit(True).alias("is_left"), F.lit(False).alias("is_right"), F.col("near").alias("with_lead"))
     grid = small.unionByName(as_right).unionByName(as_left)
-    grid = grid.join(texts, "id").select("lead", "i", "j", "id", "is_left", "is_right", "with_lead", "text")
+    # exploded rows look fewer than they are: merged, lest they be broadcast
+    grid = grid.hint("merge").join(texts, "id").select("lead", "i", "j", "id", "is_left", "is_right", "with_lead", "text")
     grid = grid.repartition(partitions(spark), "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
     found = grid.mapInArrow(compare_blocks(k, percent), "a long, b long")
     return found.unionByName(near.where("near AND lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")))
