@@ -27,7 +27,7 @@ from .texthash import chunk_hashes, word_bounds, word_chunks
 
 WINDOW, END = 2048, 1
 #: Distinct words that a worker keeps the ids of; more, and it starts anew. Longer words than KEPT_LENGTH bytes aren't kept.
-KEPT_WORDS, KEPT_LENGTH = 2_000_000, 256
+KEPT_WORDS, KEPT_LENGTH = 1_500_000, 256
 #: Pieces handed on at once, of at most a window each.
 ROWS = 2000
 #: What surely parts words for the tokenizer.
@@ -52,7 +52,7 @@ class WordIds:
     def _reset(self) -> None:
         self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         #: of each word: ids' place and number, bytes' place (in numbers of eight) and length
-        self.words = np.zeros((1 << 16, 4), np.int64)
+        self.words = np.zeros((1 << 16, 4), np.int32)
         self.flat, self.used = np.zeros(1 << 17, np.uint32), 0
         self.bytes, self.filled = np.zeros(1 << 17, np.uint64), 0
 
@@ -95,7 +95,7 @@ class WordIds:
             self._learn(keys[new], data, starts[example[new]], ends[example[new]])
             where = np.searchsorted(self.keys, keys)
         rows = self.words[self.codes[where][which]]
-        place = np.repeat(rows[:, 2] - at[:-1], np.diff(at)) + np.arange(at[-1])
+        place = np.repeat(rows[:, 2].astype(np.int64) - at[:-1], np.diff(at)) + np.arange(at[-1])
         same = np.logical_and.reduceat(self.bytes[np.minimum(place, self.filled - 1)] == chunks, at[:-1])
         return rows, same & (rows[:, 3] == ends - starts)
 
