@@ -46,7 +46,7 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
         for command in ("compile", "compile --dot", "run --dry-run", "run --test", "test", "docs", "diagnostics", "run --select none", "sql translate", "sql split"):
-            rows.append((command, main([*command.split(), *at, *rest.get(command, [])])))
+            rows.append((command, main([*command.split(), *rest.get(command, []), *at])))
         rows.append(("init", main(["init", str(root)])))
     return spark.createDataFrame(rows, "command string, code int")
 

@@ -87,7 +87,8 @@ class Executor:
             settle()
             while waiting or running:
                 if not stopped:
-                    for name in sorted(n for n in waiting if all(u in done for u in self.graph.parents(n))):
+                    ready = sorted(n for n in waiting if all(u in done for u in self.graph.parents(n)))
+                    for name in ready[: max(1, self.options.threads) - len(running)]:  # no more than can begin now
                         running[pool.submit(self._one, self.graph.models[name])] = name
                         waiting.discard(name)
                 if running:
@@ -95,8 +96,6 @@ class Executor:
                         name = running.pop(f)
                         done[name] = f.result()
                         stopped |= self.options.fail_fast and done[name].status == Status.FAILED
-                    for f in [f for f in running if stopped and f.cancel()]:  # not begun yet
-                        waiting.add(running.pop(f))
                 settle()
         return [done[n] for n in self.graph.order()]
 
