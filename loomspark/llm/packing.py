@@ -29,7 +29,7 @@ WINDOW, END = 2048, 1
 #: Distinct words that a worker keeps the ids of; more, and it starts anew. Longer words than KEPT_LENGTH bytes aren't kept.
 KEPT_WORDS, KEPT_LENGTH = 1_500_000, 256
 #: Pieces handed on at once, of at most a window each.
-ROWS = 2000
+ROWS = 500
 #: What surely parts words for the tokenizer.
 NOT_GAP = np.ones(256, bool)
 NOT_GAP[[0x20, 0x09, 0x0A, 0x0D]] = False
